@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to callable) and ORACLE (name to SQL).
-MODULES = ["chartloom.llm.tokens"]
+MODULES = ["chartloom.llm.tokens", "chartloom.llm.sentences"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
