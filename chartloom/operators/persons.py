@@ -1,0 +1,279 @@
+"""Rows of several registers that mean the same person, as groups over the whole tables.
+
+1. Parts: a typed name becomes its spelled-out parts (without marks, case, titles, remarks and particles) and initials;
+   dob becomes a date, mrn a registry number. Blank, test and placeholder names mean nobody and are in no group.
+2. Candidates: rows that share an exact or nearly equal name part and one piece of evidence (two of year, month and
+   day of birth; the digits of a registry number; or, where a date is missing, the part alone). Nearly equal (one letter
+   put in, left out, changed or two swapped) is an equi-join of deletion signatures, which finds every such pair
+   without comparing all names; the very common parts (given names) are no keys where a name has a rarer one.
+3. Decision: each candidate pair is compared part by part with its dates and numbers; see `decide`.
+4. Groups: strong pairs are closed by smallest-label propagation until nothing changes. A row that is only an initial
+   and surname, or has no date, joins the one group that fits; where several fit it joins none.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterable, Iterator
+from datetime import date
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chartloom.session import checkpoint
+from chartloom.sources.tables import read
+
+PARTICLES = set("de la da van der von al st ben mac mc del di du le el bin ibn y dos".split())
+TITLES = set("mr mrs ms miss dr prof sir jr sr ii iii iv md phd rn".split())
+NOBODY = re.compile(r"\b(test|xxx+|placeholder|unknown|unidentified|baby|asdf|qwer|walk[- ]?in|anonymous|dummy|do not use this)\b", re.I)
+REMARK = re.compile(r"\[[^\]]*\]|\*\*.*?\*\*|\((?=[^)]*\s)[^)]*\)|/\s*referred.*$|,?\s*\bc/o\b.*$|\s+-\s+.*$", re.I)
+NICKNAMES: dict[str, set[str]] = {}
+for _full, _names in {
+    "theodore": "ted teddy", "rebecca": "becky becca", "dorothy": "dot dottie", "charles": "chuck charlie", "lawrence": "larry", "johannes": "hannes", "christina": "tina chris", "antonia": "toni",
+    "theresa": "terry tess", "penelope": "penny", "virginia": "ginny", "richard": "rick dick richie", "william": "bill billy will", "robert": "bob bobby rob", "margaret": "peggy maggie meg",
+    "susan": "sue susie", "leonard": "lenny", "jacqueline": "jackie", "gabriella": "gabi", "elizabeth": "liz beth betty lisa", "isabella": "izzy bella", "veronica": "ronnie", "anthony": "tony",
+    "katherine": "kate kathy katie kit", "alexander": "sasha", "alexandra": "sandra", "josephine": "josie jo", "victoria": "vicky", "patricia": "patty trish", "daniel": "danny", "abigail": "abby",
+    "jennifer": "jenny", "nicholas": "nick", "edward": "ed ted ned", "joseph": "joey joe", "james": "jim jimmy", "andrew": "drew andy", "stephen": "steve", "michael": "mike mick", "matthew": "matt",
+    "matthias": "matt", "frederick": "fred freddy", "benjamin": "benny", "samuel": "sammy", "maeve": "mae", "thomas": "tommy", "deborah": "debbie", "barbara": "barb babs", "francisco": "paco",
+    "gregory": "greg", "zachary": "zach zack", "magdalena": "lena magda", "guadalupe": "lupe",
+}.items():
+    for _a in _names.split():
+        NICKNAMES.setdefault(_a, set()).add(_full)
+MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
+PERIOD = 2  # days; two overlapping grids of it bring dates one day apart together
+ROW = "key string, parts array<string>, initials string, dob int, mrn string"
+
+
+def fold(text: str) -> str:
+    """Lower case without marks; oe, ue and ae as the single vowels that they are often typed for."""
+    t = text.lower().translate(str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "đ": "d", "æ": "a", "œ": "o"}))
+    t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    return re.sub(r"([aou])e", r"\1", t)
+
+
+def name_parts(name: str | None) -> tuple[list[str], str]:
+    """The spelled-out parts of a name and its initials; nothing for a name that means nobody."""
+    if not name or NOBODY.search(name):
+        return [], ""
+    t = re.sub(r"(?<=[^\W\d_])[01]|[01](?=[^\W\d_])", lambda m: "ol"[int(m[0])], REMARK.sub(" ", name))
+    tokens = [x for x in re.findall(r"[^\W\d_]+", t.lower()) if x not in TITLES and fold(x) not in PARTICLES]
+    return list(dict.fromkeys(fold(x) for x in tokens if len(x) > 2)), "".join(dict.fromkeys(c for x in tokens if len(x) <= 2 for c in fold(x)))
+
+
+def birth(text: str | None) -> int | None:
+    """yyyymmdd of a date in any of the notations; None where it is missing, impossible or a filler."""
+    t = (text or "").strip().lower()
+    for pattern, order in ((r"(\d{4})-(\d\d)-(\d\d)", "ymd"), (r"(\d{4})(\d\d)(\d\d)$", "ymd"), (r"(\d\d?)/(\d\d?)/(\d{4})", "mdy"), (r"(\d\d?)\.(\d\d?)\.(\d{4})", "dmy"), (r"(\d\d?) ([a-z]{3})[a-z]* (\d{4})", "dmy"), (r"([a-z]{3})[a-z]* (\d\d?),? (\d{4})", "mdy")):
+        if m := re.match(pattern, t):
+            p = {k: MONTHS.get(v) or (int(v) if v.isdigit() else 0) for k, v in zip(order, m.groups())}
+            try:
+                date(p["y"], p["m"], p["d"])
+            except ValueError:
+                return None
+            return p["y"] * 10000 + p["m"] * 100 + p["d"] if 1901 <= p["y"] <= 2030 else None
+    return None
+
+
+def registry_number(text: str | None) -> str | None:
+    """The eight digits of a real registry number; None for placeholders and numbers of the old system."""
+    t = re.sub(r"[\s-]", "", (text or "").upper())
+    m = re.fullmatch(r"(?:MRN)?(\d{8})", t)
+    return m[1] if m and len(set(m[1])) > 1 else None
+
+
+def near(a: str, b: str) -> bool:
+    """Equal but for one letter put in, left out or changed, or two neighbours swapped."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    x, y = a[i:], b[i:]
+    return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (x[:2] == y[1::-1] and x[2:] == y[2:])
+
+
+#: The nicknames and their full names as parts.
+FULL_NAMES: dict[str, set[str]] = {}
+for _n, _fs in NICKNAMES.items():
+    FULL_NAMES[fold(_n)] = {fold(_f) for _f in _fs}
+
+
+def same_part(a: str, b: str) -> bool:
+    if a == b or (min(len(a), len(b)) >= 4 and near(a, b)):
+        return True
+    if len(a) > len(b):
+        a, b = b, a
+    return (3 <= len(a) < len(b) and b.startswith(a)) or any(near(f, y) for x, y in ((a, b), (b, a)) for f in FULL_NAMES.get(x, ()))
+
+
+def compare_names(pa: list[str], ia: str, pb: list[str], ib: str) -> str:
+    """'full': all parts of the shorter name are in the longer, two or more; 'initial': the surname and a fitting initial; 'part': some part; ''."""
+    left, rest, hits = list(pb), [], 0
+    for test in (str.__eq__, same_part):
+        rest, todo = [], (pa if test is str.__eq__ else rest)
+        for x in todo:
+            y = next((y for y in left if test(x, y)), None)
+            if y is None:
+                rest.append(x)
+            else:
+                left.remove(y)
+                hits += 1
+    if not hits:
+        return ""
+    if rest and left:
+        return "part"
+    if hits >= 2:
+        return "full"
+    if not rest and not left:
+        return "initial" if not ia or not ib or set(ia) & set(ib) else "part"
+    firsts = {y[0] for x in rest + left for y in (x, *FULL_NAMES.get(x, ()))}
+    return "initial" if firsts & set(ib if rest else ia) else "part"
+
+
+def compare_dates(a: int | None, b: int | None) -> str:
+    if not a or not b:
+        return "missing"
+    if a == b:
+        return "same"
+    x, y = (a // 10000, a // 100 % 100, a % 100), (b // 10000, b // 100 % 100, b % 100)
+    if abs((date(*x) - date(*y)).days) == 1 or (x[0] == y[0] and x[1:] == y[:0:-1]):
+        return "close"
+    return "near" if sum(p == q for p, q in zip(x, y)) >= 2 else "other"
+
+
+def compare_numbers(a: str | None, b: str | None) -> str:
+    if not a or not b:
+        return "missing"
+    if a == b:
+        return "same"
+    return "near" if sum(x != y for x, y in zip(a, b)) == 1 or (sorted(a) == sorted(b) and sum(x != y for x, y in zip(a, b)) == 2) else "other"
+
+
+def decide(a: tuple, b: tuple) -> str:
+    """'strong', 'weak' or '' for two rows (parts, initials, dob, mrn)."""
+    name, dob, mrn = compare_names(a[0], a[1], b[0], b[1]), compare_dates(a[2], b[2]), compare_numbers(a[3], b[3])
+    if name == "full":
+        if mrn == "same" or dob in ("same", "close") or (dob == "near" and mrn != "other") or (dob == "missing" and mrn == "near"):
+            return "strong"
+        return "weak" if dob == "missing" and mrn == "missing" else ""
+    if name == "initial":
+        if mrn == "same" and dob != "other":
+            return "strong"
+        return "weak" if dob in ("same", "close") or (dob == "near" and mrn == "near") else ""
+    return "strong" if name == "part" and mrn == "same" and dob == "same" else ""
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """ROW of the people in a table with key, name, dob and mrn."""
+
+    def parse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, name, dob, mrn in b.itertuples(index=False):
+                parts, initials = name_parts(name)
+                if parts:
+                    out.append((key, parts, initials, birth(dob), registry_number(mrn)))
+            df = pd.DataFrame(out, columns=["key", "parts", "initials", "dob", "mrn"])
+            yield df.astype({"dob": "Int32"})
+
+    return rows.select("key", "name", "dob", "mrn").mapInPandas(parse, ROW)
+
+
+def candidate_pairs(people: DataFrame) -> DataFrame:
+    """(a, b), a < b: rows that share a nearly equal part and a piece of evidence."""
+    part = people.select("key", "dob", "mrn", F.explode("parts").alias("part"))
+    total = people.count()
+    common = F.broadcast(part.groupBy("part").agg(F.count("*").alias("n")).where((F.col("n") > 30) & (F.col("n") > 0.004 * total)).select("part", F.lit(1).alias("common")))
+    part = part.where("length(part) >= 3").join(common, "part", "left")
+    # A name of common parts only keeps them all.
+    part = part.withColumn("rare", F.max(F.when(F.col("common").isNull(), 1).otherwise(0)).over(Window.partitionBy("key"))).where("common is null or rare = 0")
+    y, m, d = F.floor(F.col("dob") / 10000), F.floor(F.col("dob") / 100) % 100, F.col("dob") % 100
+    day = F.unix_date(F.make_date(y.cast("int"), m.cast("int"), d.cast("int")))
+    digits = F.array_join(F.array_sort(F.split("mrn", "")), "")
+    evidence = F.array_compact(F.array(
+        F.concat_ws("-", F.lit("ym"), y, m), F.concat_ws("-", F.lit("md"), m, d), F.concat_ws("-", F.lit("yd"), y, d), F.concat_ws("-", F.lit("sw"), y, F.least(m, d), F.greatest(m, d)),
+        F.concat_ws("-", F.lit("d0"), F.floor(day / PERIOD)), F.concat_ws("-", F.lit("d1"), F.floor((day + 1) / PERIOD)),
+    ))
+    numbers = F.array(F.concat(F.lit("n"), digits), F.concat(F.lit("h"), F.substring("mrn", 1, 4)), F.concat(F.lit("t"), F.substring("mrn", 5, 4)))
+    evidence = F.concat(F.when(F.col("dob").isNotNull(), evidence).otherwise(F.array().cast("array<string>")), F.when(F.col("mrn").isNotNull(), numbers).otherwise(F.array().cast("array<string>")))
+    cut = F.when(F.length("part") >= 4, F.expr("transform(sequence(1, length(part)), i -> concat(substr(part, 1, i - 1), substr(part, i + 1)))")).otherwise(F.array().cast("array<string>"))
+    near_keys = part.select("key", F.explode(F.array_distinct(F.concat(F.array("part"), cut))).alias("sig"), evidence.alias("e")).select("key", F.explode("e").alias("e"), "sig").select("key", F.xxhash64("e", "sig").alias("k"))
+    by_evidence = _pairs(near_keys, near_keys)
+    # A missing date: the exact part alone, met only from the rows without a date.
+    undated = part.where("dob is null").select("key", F.xxhash64("part").alias("k"))
+    # Two rows with the same number are candidates whatever their names.
+    number = people.where("mrn is not null").select("key", F.xxhash64("mrn").alias("k"))
+    return by_evidence.unionByName(_pairs(undated, part.select("key", F.xxhash64("part").alias("k")))).unionByName(_pairs(number, number)).distinct()
+
+
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    j = left.select(F.col("key").alias("x"), "k").join(right.select(F.col("key").alias("y"), "k"), "k").where("x <> y")
+    return j.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def decided(people: DataFrame) -> DataFrame:
+    """(a, b, kind) of the candidate pairs that are strong or weak."""
+    pairs = candidate_pairs(people)
+    side = lambda s: people.select(F.col("key").alias(s), F.struct("parts", "initials", "dob", "mrn").alias(f"r{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[(F.coalesce(F.col(f"r{s}.dob"), F.lit(0)) if c == "dob" else F.col(f"r{s}.{c}")).alias(f"{c}_{s}") for s in "ab" for c in ("parts", "initials", "dob", "mrn")])
+
+    def judge(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            kinds = [decide((list(pa), ia, da and int(da), ma), (list(pb), ib, db and int(db), mb)) for pa, ia, da, ma, pb, ib, db, mb in t.iloc[:, 2:].itertuples(index=False)]
+            yield t[["a", "b"]].assign(kind=kinds).query("kind != ''")
+
+    return both.mapInPandas(judge, "a string, b string, kind string")
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, label): the smallest key reachable over the edges (a, b), for every node."""
+    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = checkpoint(nodes.select("key", F.col("key").alias("label")))
+    while True:
+        seen = both.join(label, both.a == label.key).groupBy(F.col("b").alias("key")).agg(F.min("label").alias("near"))
+        step = label.join(seen, "key", "left").select("key", F.least("label", "near").alias("to"), F.col("label").alias("was"))
+        # Shortcut: the label's own label.
+        jump = step.select(F.col("key").alias("to"), F.col("to").alias("further"))
+        new = checkpoint(step.join(jump, "to", "left").select("key", F.least("to", "further").alias("label"), "was"))
+        if new.where("label <> was").isEmpty():
+            return new.select("key", "label")
+        label = new.select("key", "label")
+
+
+def groups(rows: DataFrame) -> DataFrame:
+    """(key, label) of every row that means a person; rows of one person carry one label."""
+    people = checkpoint(parsed(rows))
+    pairs = checkpoint(decided(people))
+    label = components(people, pairs.where("kind = 'strong'"))
+    # A row is open where it is an initial and a surname, or has no date.
+    open_ = people.select("key", ((F.size("parts") < 2) | F.col("dob").isNull()).alias("open"))
+    info = label.join(open_, "key").select("key", "label", "open")
+    full = info.groupBy("label").agg(F.every("open").alias("open"))
+    info = info.select("key", "label").join(full, "label")
+    side = lambda s: info.select(F.col("key").alias(s), F.col("label").alias(f"l{s}"), F.col("open").alias(f"o{s}"))
+    weak = pairs.where("kind = 'weak'").join(side("a"), "a").join(side("b"), "b").where("la <> lb")
+    to = weak.select(F.col("la").alias("x"), F.col("oa").alias("ox"), F.col("lb").alias("y"), F.col("ob").alias("oy")).unionByName(weak.select(F.col("lb"), F.col("ob"), F.col("la"), F.col("oa")).toDF("x", "ox", "y", "oy"))
+    target = to.where("ox").groupBy("x").agg(F.count_distinct(F.when(~F.col("oy"), F.col("y"))).alias("n"), F.min(F.when(~F.col("oy"), F.col("y"))).alias("closed"), F.min("y").alias("any"))
+    chosen = target.where("n <= 1").select(F.col("x").alias("a"), F.coalesce("closed", "any").alias("b"))
+    merged = components(label.select(F.col("label").alias("key")).distinct(), chosen)
+    return label.join(merged.select(F.col("key").alias("label"), F.col("label").alias("final")), "label").select("key", F.col("final").alias("label"))
+
+
+def linked_variants(patients: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(key_a, key_b) of the rows of one person whose names differ byte for byte."""
+    rows = patients.select(F.col("id").alias("key"), "name", "dob", "mrn").unionByName(payloads.select(F.col("payload_id").alias("key"), "name", "dob", "mrn")).dropDuplicates(["key"])
+    g = checkpoint(groups(rows).join(rows.select("key", "name"), "key"))
+    a, b = (g.select("label", F.col("key").alias(f"key_{s}"), F.col("name").alias(f"name_{s}")) for s in "ab")
+    return a.join(b, "label").where("key_a < key_b and name_a <> name_b").select("key_a", "key_b")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_variants(read(spark, sf_dir, "patients"), read(spark, sf_dir, "patient_payloads"))
+
+
+QUERIES = {"p1_found": p1_found}
+ORACLE: dict[str, str] = {}

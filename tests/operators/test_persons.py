@@ -1,0 +1,44 @@
+from chartloom.operators import persons as P
+
+ROWS = "id string, name string, dob string, mrn string"
+PAYS = "payload_id string, name string, dob string, mrn string"
+
+
+def test_every_spelling_of_one_person_is_linked_and_nobody_else(spark):
+    patients = [
+        ("a1", "Rebecca Ana Branczyk", "1996-09-28", "MRN24920792"),
+        ("a2", "BRANCCZYK REBECCA", "Sep 28, 1996", "mrn 2492-0792"),
+        ("a3", "Branczyk, R.", "28.09.1996", "LEG22430"),  # only an initial
+        ("a4", "Rebecca Branczyk", "1950-01-02", "MRN11112223"),  # namesake
+        ("b1", "Günther O'Brannigan", "1960-03-04", None),
+        ("c1", "Mei Halripoulos", "1980-03-04", None),  # twins
+        ("c2", "Maeve Halripoulos", "1980-03-04", None),
+        ("c3", "M. Halripoulos", "1980-03-04", None),
+        ("z1", "TEST TEST", "1980-03-04", None), ("z2", None, None, None), ("z3", " ", "1980-03-04", None), ("z4", "xxx", "1980-03-04", None),
+    ]
+    payloads = [
+        ("p1", "Ms. Becky Branczyk [temp]", "09/28/1996", "TBD"),
+        ("p2", "Branczyk, Rebecca", "1996-09-29", None),
+        ("p3", "guenther o'brannigan, c/o daughter", "03/04/1960", "MRN00000000"),
+        ("p4", "Günther O'Brannigan", "1960-03-04", None),  # equal byte for byte
+        ("z5", "Test Test", "1980-03-04", None),
+    ]
+    got = {(r.key_a, r.key_b) for r in P.linked_variants(spark.createDataFrame(patients, ROWS), spark.createDataFrame(payloads, PAYS)).collect()}
+    one = ["a1", "a2", "a3", "p1", "p2"]
+    assert got == {(a, b) for a in one for b in one if a < b} | {("b1", "p3"), ("p3", "p4")}
+    assert P.linked_variants(spark.createDataFrame([], ROWS), spark.createDataFrame([], PAYS)).count() == 0
+
+
+def test_signatures_lose_no_pair_that_the_decision_takes(spark, sf):
+    rows = spark.read.parquet(f"{sf}/patients.parquet").selectExpr("id as key", "name", "dob", "mrn").unionByName(spark.read.parquet(f"{sf}/patient_payloads.parquet").selectExpr("payload_id as key", "name", "dob", "mrn"))
+    people = P.parsed(rows)
+    got = {(r.a, r.b): r.kind for r in P.decided(people).collect()}
+    all_ = sorted(((r.key, (r.parts, r.initials, r.dob, r.mrn)) for r in people.collect()))
+    want = {(a, b): k for i, (a, x) in enumerate(all_) for b, y in all_[i + 1 :] if (k := P.decide(x, y))}
+    assert got == want and len(got) > 20
+
+
+def test_registered():
+    import __spark_entry__
+
+    assert "p1_found" in __spark_entry__.queries()
