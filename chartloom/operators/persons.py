@@ -42,8 +42,8 @@ for _full, _names in {
     for _a in _names.split():
         NICKNAMES.setdefault(_a, set()).add(_full)
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
-PERIOD = 2  # days; two overlapping grids of it bring dates one day apart together
-ROW = "key string, parts array<string>, initials string, dob int, mrn string"
+SLIP = 12  # days; two grids of twice as many bring all dates up to this far apart together
+ROW = "key string, parts array<string>, initials string, dob int, mrn string, home string"
 
 
 def fold(text: str) -> str:
@@ -83,6 +83,12 @@ def registry_number(text: str | None) -> str | None:
     return m[1] if m and len(set(m[1])) > 1 else None
 
 
+def home_key(text: str | None) -> str | None:
+    """House number and the begin of the street's name: what survives abbreviations, a missing town and most slips."""
+    m = re.match(r"\s*(\d+)\s+([^\W\d_]{2,4})", fold(text or ""))
+    return f"{m[1]} {m[2]}" if m else None
+
+
 def near(a: str, b: str) -> bool:
     """Equal but for one letter put in, left out or changed, or two neighbours swapped."""
     if a == b:
@@ -142,7 +148,10 @@ def compare_dates(a: int | None, b: int | None) -> str:
     x, y = (a // 10000, a // 100 % 100, a % 100), (b // 10000, b // 100 % 100, b % 100)
     if abs((date(*x) - date(*y)).days) == 1 or (x[0] == y[0] and x[1:] == y[:0:-1]):
         return "close"
-    return "near" if sum(p == q for p, q in zip(x, y)) >= 2 else "other"
+    if sum(p == q for p, q in zip(x, y)) >= 2 or abs((date(*x) - date(*y)).days) < SLIP:
+        return "near"
+    # Year and day are both damaged: told apart from another date only by further evidence.
+    return "loose" if abs(x[0] - y[0]) in (1, 10) and abs((date(2000, *x[1:]) - date(2000, *y[1:])).days) < SLIP else "other"
 
 
 def compare_numbers(a: str | None, b: str | None) -> str:
@@ -154,38 +163,42 @@ def compare_numbers(a: str | None, b: str | None) -> str:
 
 
 def decide(a: tuple, b: tuple) -> str:
-    """'strong', 'weak' or '' for two rows (parts, initials, dob, mrn)."""
+    """'strong', 'weak' or '' for two rows (parts, initials, dob, mrn, home)."""
     name, dob, mrn = compare_names(a[0], a[1], b[0], b[1]), compare_dates(a[2], b[2]), compare_numbers(a[3], b[3])
+    home = a[4] is not None and a[4] == b[4]
     if name == "full":
-        if mrn == "same" or dob in ("same", "close") or (dob == "near" and mrn != "other") or (dob == "missing" and mrn == "near"):
+        if mrn == "near" or (home and dob in ("missing", "near", "loose")):
+            return "strong"
+        if mrn == "same" or dob in ("same", "close") or (dob == "near" and mrn != "other"):
             return "strong"
         return "weak" if dob == "missing" and mrn == "missing" else ""
     if name == "initial":
         if mrn == "same" and dob != "other":
             return "strong"
-        return "weak" if dob in ("same", "close") or (dob == "near" and mrn == "near") else ""
+        return "weak" if dob in ("same", "close") or (dob == "near" and mrn == "near") or (home and dob in ("missing", "near")) else ""
     return "strong" if name == "part" and mrn == "same" and dob == "same" else ""
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """ROW of the people in a table with key, name, dob and mrn."""
+    """ROW of the people in a table with key, name, dob, mrn and, where it has one, address."""
+    rows = rows if "address" in rows.columns else rows.withColumn("address", F.lit(None).cast("string"))
 
     def parse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, name, dob, mrn in b.itertuples(index=False):
+            for key, name, dob, mrn, address in b.itertuples(index=False):
                 parts, initials = name_parts(name)
                 if parts:
-                    out.append((key, parts, initials, birth(dob), registry_number(mrn)))
-            df = pd.DataFrame(out, columns=["key", "parts", "initials", "dob", "mrn"])
+                    out.append((key, parts, initials, birth(dob), registry_number(mrn), home_key(address)))
+            df = pd.DataFrame(out, columns=["key", "parts", "initials", "dob", "mrn", "home"])
             yield df.astype({"dob": "Int32"})
 
-    return rows.select("key", "name", "dob", "mrn").mapInPandas(parse, ROW)
+    return rows.select("key", "name", "dob", "mrn", "address").mapInPandas(parse, ROW)
 
 
 def candidate_pairs(people: DataFrame) -> DataFrame:
     """(a, b), a < b: rows that share a nearly equal part and a piece of evidence."""
-    part = people.select("key", "dob", "mrn", F.explode("parts").alias("part"))
+    part = people.select("key", "dob", "mrn", "home", F.explode("parts").alias("part"))
     total = people.count()
     common = F.broadcast(part.groupBy("part").agg(F.count("*").alias("n")).where((F.col("n") > 30) & (F.col("n") > 0.004 * total)).select("part", F.lit(1).alias("common")))
     part = part.where("length(part) >= 3").join(common, "part", "left")
@@ -196,10 +209,10 @@ def candidate_pairs(people: DataFrame) -> DataFrame:
     digits = F.array_join(F.array_sort(F.split("mrn", "")), "")
     evidence = F.array_compact(F.array(
         F.concat_ws("-", F.lit("ym"), y, m), F.concat_ws("-", F.lit("md"), m, d), F.concat_ws("-", F.lit("yd"), y, d), F.concat_ws("-", F.lit("sw"), y, F.least(m, d), F.greatest(m, d)),
-        F.concat_ws("-", F.lit("d0"), F.floor(day / PERIOD)), F.concat_ws("-", F.lit("d1"), F.floor((day + 1) / PERIOD)),
+        F.concat_ws("-", F.lit("d0"), F.floor(day / (2 * SLIP))), F.concat_ws("-", F.lit("d1"), F.floor((day + SLIP) / (2 * SLIP))),
     ))
     numbers = F.array(F.concat(F.lit("n"), digits), F.concat(F.lit("h"), F.substring("mrn", 1, 4)), F.concat(F.lit("t"), F.substring("mrn", 5, 4)))
-    evidence = F.concat(F.when(F.col("dob").isNotNull(), evidence).otherwise(F.array().cast("array<string>")), F.when(F.col("mrn").isNotNull(), numbers).otherwise(F.array().cast("array<string>")))
+    evidence = F.concat(F.when(F.col("dob").isNotNull(), evidence).otherwise(F.array().cast("array<string>")), F.when(F.col("mrn").isNotNull(), numbers).otherwise(F.array().cast("array<string>")), F.array_compact(F.array(F.concat(F.lit("a"), "home"))))
     cut = F.when(F.length("part") >= 4, F.expr("transform(sequence(1, length(part)), i -> concat(substr(part, 1, i - 1), substr(part, i + 1)))")).otherwise(F.array().cast("array<string>"))
     near_keys = part.select("key", F.explode(F.array_distinct(F.concat(F.array("part"), cut))).alias("sig"), evidence.alias("e")).select("key", F.explode("e").alias("e"), "sig").select("key", F.xxhash64("e", "sig").alias("k"))
     by_evidence = _pairs(near_keys, near_keys)
@@ -218,12 +231,12 @@ def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 def decided(people: DataFrame) -> DataFrame:
     """(a, b, kind) of the candidate pairs that are strong or weak."""
     pairs = candidate_pairs(people)
-    side = lambda s: people.select(F.col("key").alias(s), F.struct("parts", "initials", "dob", "mrn").alias(f"r{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[(F.coalesce(F.col(f"r{s}.dob"), F.lit(0)) if c == "dob" else F.col(f"r{s}.{c}")).alias(f"{c}_{s}") for s in "ab" for c in ("parts", "initials", "dob", "mrn")])
+    side = lambda s: people.select(F.col("key").alias(s), F.struct("parts", "initials", "dob", "mrn", "home").alias(f"r{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[(F.coalesce(F.col(f"r{s}.dob"), F.lit(0)) if c == "dob" else F.col(f"r{s}.{c}")).alias(f"{c}_{s}") for s in "ab" for c in ("parts", "initials", "dob", "mrn", "home")])
 
     def judge(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            kinds = [decide((list(pa), ia, da and int(da), ma), (list(pb), ib, db and int(db), mb)) for pa, ia, da, ma, pb, ib, db, mb in t.iloc[:, 2:].itertuples(index=False)]
+            kinds = [decide((list(pa), ia, da and int(da), ma, ha), (list(pb), ib, db and int(db), mb, hb)) for pa, ia, da, ma, ha, pb, ib, db, mb, hb in t.iloc[:, 2:].itertuples(index=False)]
             yield t[["a", "b"]].assign(kind=kinds).query("kind != ''")
 
     return both.mapInPandas(judge, "a string, b string, kind string")
@@ -275,5 +288,43 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_variants(read(spark, sf_dir, "patients"), read(spark, sf_dir, "patient_payloads"))
 
 
-QUERIES = {"p1_found": p1_found}
+def registry_rows(patients: DataFrame) -> DataFrame:
+    """key, name, dob, mrn and address of the registry."""
+    return patients.select(F.col("id").alias("key"), "name", "dob", "mrn", F.get_json_object("patient_json", "$.address").alias("address")).dropDuplicates(["key"])
+
+
+def confidence(a: tuple, b: tuple) -> float:
+    """How sure a match is by the two rows themselves, from 0 to 1: an ordered scale, not a calibrated probability."""
+    name, dob, mrn = compare_names(a[0], a[1], b[0], b[1]), compare_dates(a[2], b[2]), compare_numbers(a[3], b[3])
+    odds = {"full": 8.0, "initial": 2.0, "part": 0.5, "": 0.2}[name] * {"same": 20.0, "close": 8.0, "near": 3.0, "missing": 1.0, "loose": 0.5, "other": 0.1}[dob]
+    odds *= {"same": 30.0, "near": 8.0, "missing": 1.0, "other": 0.4}[mrn] * (6.0 if a[4] is not None and a[4] == b[4] else 1.0)
+    return round(odds / (1.0 + odds), 4)
+
+
+def matches(patients: DataFrame, records: DataFrame) -> DataFrame:
+    """(patient_id, rec_id, confidence) of every registry row and record of one person."""
+    rows = registry_rows(patients).select(F.concat(F.lit("p"), "key").alias("key"), "name", "dob", "mrn", "address")
+    rows = rows.unionByName(records.dropDuplicates(["rec_id"]).select(F.concat(F.lit("r"), F.col("rec_id").cast("string")).alias("key"), "name", "dob", "mrn", "address"))
+    g = checkpoint(groups(rows).join(parsed(rows), "key"))
+    side = lambda s: g.where(F.col("key").startswith(s)).select("label", F.substr("key", F.lit(2)).alias(f"key_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("parts", "initials", "dob", "mrn", "home")])
+    both = side("p").join(side("r"), "label").drop("label").fillna(0, ["dob_p", "dob_r"])
+
+    def score(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            out = [(kp, int(kr), confidence((list(pp), ip, int(dp), mp, hp), (list(pr), ir, int(dr), mr, hr))) for kp, pp, ip, dp, mp, hp, kr, pr, ir, dr, mr, hr in t.itertuples(index=False)]
+            yield pd.DataFrame(out, columns=["patient_id", "rec_id", "confidence"])
+
+    return both.mapInPandas(score, "patient_id string, rec_id bigint, confidence double")
+
+
+def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match with its confidence."""
+    return matches(read(spark, sf_dir, "patients"), read(spark, sf_dir, "identity_records"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_scores(spark, sf_dir).select("patient_id", "rec_id")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_scores": p3_scores}
 ORACLE: dict[str, str] = {}

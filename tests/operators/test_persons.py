@@ -33,7 +33,7 @@ def test_signatures_lose_no_pair_that_the_decision_takes(spark, sf):
     rows = spark.read.parquet(f"{sf}/patients.parquet").selectExpr("id as key", "name", "dob", "mrn").unionByName(spark.read.parquet(f"{sf}/patient_payloads.parquet").selectExpr("payload_id as key", "name", "dob", "mrn"))
     people = P.parsed(rows)
     got = {(r.a, r.b): r.kind for r in P.decided(people).collect()}
-    all_ = sorted(((r.key, (r.parts, r.initials, r.dob, r.mrn)) for r in people.collect()))
+    all_ = sorted(((r.key, (r.parts, r.initials, r.dob, r.mrn, r.home)) for r in people.collect()))
     want = {(a, b): k for i, (a, x) in enumerate(all_) for b, y in all_[i + 1 :] if (k := P.decide(x, y))}
     assert got == want and len(got) > 20
 
@@ -42,3 +42,24 @@ def test_registered():
     import __spark_entry__
 
     assert "p1_found" in __spark_entry__.queries()
+
+
+def test_matches_of_registry_and_records(spark):
+    patients = [
+        ("a1", "Rebecca Branczyk", "1996-09-28", "MRN24920792", None),
+        ("a2", "Becky Branczyk", "1996-09-28", None, '{"address": "70 Kestrel St, Eastvale, WA 00515", "v": 1}'),
+        ("b1", "Rebecca Branczyk", "1950-01-02", None, '{"address": "9 Larkspur Way", "v": 2}'),  # namesake
+        ("c1", "TEST TEST", "1996-09-28", None, None),
+    ]
+    records = [
+        (1, "BRANCZYK, REBECCA", "1996-09-29", "MRN24927092", None),  # both damaged
+        (2, "Branczyk, Rebeca", None, "LEG22430", "70 KESTREL STREET, EASTVSLE"),  # only the address tells
+        (3, "Rebecca Branczyk", "01/02/1950", None, None),
+        (4, "Test Test", "1996-09-28", None, None),
+        (5, "Rebecca Branczyk", None, None, None),  # fits two persons
+    ]
+    p = spark.createDataFrame(patients, "id string, name string, dob string, mrn string, patient_json string")
+    r = spark.createDataFrame(records, "rec_id bigint, name string, dob string, mrn string, address string")
+    got = {(x.patient_id, x.rec_id): x.confidence for x in P.matches(p, r).collect()}
+    assert set(got) == {("a1", 1), ("a2", 1), ("a1", 2), ("a2", 2), ("b1", 3)}
+    assert all(0 < c < 1 for c in got.values()) and got["a1", 1] > got["a1", 2]
