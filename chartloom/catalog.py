@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to callable) and ORACLE (name to SQL).
-MODULES = ["chartloom.operators.references", "chartloom.operators.units", "chartloom.operators.persons"]
+MODULES = ["chartloom.operators.references", "chartloom.operators.units", "chartloom.operators.persons", "chartloom.operators.survivors"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

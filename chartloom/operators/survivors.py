@@ -1,0 +1,100 @@
+"""The surviving name, number and creation of each person with several registry rows, field by field.
+
+Persons are the groups of persons.py over the registry. The rows are unpivoted to (group, field, row, rank) and each
+field's best row is taken by max_by and pivoted back. Name: the row that spells out the most parts of the correct name,
+where a part counts only if it is no initial, nickname or misspelling; a misspelling is a part that a row of the same
+person, or a very common part of the corpus, holds one letter away with more votes. Number: only real registry numbers
+stand for election, so a group without any has a null. Ties: the latest created, then the smallest id.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chartloom.functions.times import iso_micros
+from chartloom.operators.persons import FULL_NAMES, REMARK, groups, name_parts, near, registry_number, registry_rows
+from chartloom.operators.references import YEAR_1901
+from chartloom.session import checkpoint
+from chartloom.sources.tables import read
+
+
+def spelled_parts(name: str | None) -> list[str]:
+    """The parts of a name as typed, without those that hold a digit."""
+    return name_parts(re.sub(r"\S*\d\S*", " ", REMARK.sub(" ", name or "")))[0]
+
+
+def short_form(a: str, b: str) -> bool:
+    """Whether a is a nickname or a cut form of b."""
+    return (len(a) < len(b) and b.startswith(a)) or b in FULL_NAMES.get(a, ())
+
+
+def right_parts(rows: list[list[str]], common: dict[str, int], counts: dict[str, int]) -> list[int]:
+    """How many parts of the correct name each row of one person spells out."""
+    votes: dict[str, int] = {}
+    for parts in rows:
+        for p in parts:
+            votes[p] = votes.get(p, 0) + 1
+    weight = lambda p: (votes.get(p, 0), max(counts.get(p, 0), common.get(p, 0)))
+
+    def wrong(p: str) -> bool:
+        if p in FULL_NAMES or any(q != p and short_form(p, q) for q in votes):
+            return True
+        if any(q != p and near(p, q) and weight(q) > weight(p) for q in votes):
+            return True
+        return p not in common and len(p) >= 3 and counts.get(p, 0) <= 3 and any(near(p, q) for q in common)
+
+    bad = {p for p in votes if wrong(p)}
+    return [sum(p not in bad for p in parts) for parts in rows]
+
+
+def survivors(patients: DataFrame) -> DataFrame:
+    """(group_id, name_id, mrn_id, created_at_id) of every person with two or more rows."""
+    patients = patients.dropDuplicates(["id"])
+    us = iso_micros(F.col("created_at"))
+    label = groups(registry_rows(patients))
+    own = patients.select(F.col("id").alias("key"), "name", "mrn", F.coalesce(F.when(us >= YEAR_1901, us), F.lit(YEAR_1901 - 1)).alias("us"))
+
+    def spell(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(label, key, us, spelled_parts(name), registry_number(mrn) is not None) for label, key, us, name, mrn in b.itertuples(index=False)]
+            yield pd.DataFrame(out, columns=["label", "key", "us", "parts", "numbered"])
+
+    rows = checkpoint(label.join(own, "key").select("label", "key", "us", "name", "mrn").mapInPandas(spell, "label string, key string, us bigint, parts array<string>, numbered boolean"))
+    part = rows.select("key", F.explode("parts").alias("part"))
+    counts = checkpoint(part.groupBy("part").agg(F.count("*").alias("n")))
+    # Parts that a five-hundredth of the rows hold are few whatever the corpus' size.
+    common = {r.part: r.n for r in counts.where((F.col("n") > 10) & (F.col("n") > rows.count() / 500)).collect()}
+    several = rows.groupBy("label").agg(F.count("*").alias("n")).where("n >= 2").select("label")
+    counted = part.join(counts, "part").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("counts"))
+    people = rows.join(several, "label").join(counted, "key", "left").groupBy("label").agg(F.collect_list(F.struct("key", "us", "parts", "numbered", "counts")).alias("rows"))
+
+    def unpivot(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for label, rs in b.itertuples(index=False):
+                counts = {p: n for r in rs for p, n in dict(r["counts"] or {}).items()}
+                spelled = right_parts([list(r["parts"]) for r in rs], common, counts)
+                for r, n in zip(rs, spelled):
+                    out += [(label, "name", r["key"], n, r["us"]), (label, "created_at", r["key"], 0, r["us"])]
+                    if r["numbered"]:
+                        out.append((label, "mrn", r["key"], 0, r["us"]))
+            yield pd.DataFrame(out, columns=["label", "field", "key", "votes", "us"])
+
+    fields = people.mapInPandas(unpivot, "label string, field string, key string, votes bigint, us bigint")
+    best = fields.groupBy("label", "field", "votes", "us").agg(F.min("key").alias("key")).groupBy("label", "field").agg(F.max_by("key", F.struct("votes", "us")).alias("key"))
+    ids = best.groupBy("label").pivot("field", ["name", "mrn", "created_at"]).agg(F.first("key"))
+    smallest = rows.groupBy("label").agg(F.min("key").alias("group_id"))
+    return ids.join(smallest, "label").select("group_id", F.col("name").alias("name_id"), F.col("mrn").alias("mrn_id"), F.col("created_at").alias("created_at_id"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors(read(spark, sf_dir, "patients"))
+
+
+QUERIES = {"p5_found": p5_found}
+ORACLE: dict[str, str] = {}

@@ -1,0 +1,24 @@
+from chartloom.operators import survivors as S
+
+
+def test_each_field_survives_on_its_own(spark):
+    rows = [
+        ("a1", "Rebecca Ana Branczyk", "1996-09-28", "UNKNOWN", "2020-01-01T00:00:00Z"),
+        ("a2", "Becky Branczyk", "1996-09-28", "MRN24920792", "2022-01-01T00:00:00+00:00"),
+        ("a3", "Branczyk, Rebeca A.", "1996-09-28", "LEG22430", "20230101T000000Z"),
+        ("a4", "Branczyk, R.", "1996-09-28", "mrn24920792", "1900-01-01"),
+        ("b1", "Omar Wenville", "1970-05-05", None, "2021-01-01"),
+        ("b2", "Mr. OMAR WENVILLE [temp]", "1970-05-05", "", "2021-01-02"),
+        ("c1", "Zofia Halgren", "1970-05-05", "MRN33333331", "2021-01-02"),
+        ("z1", "Unidentified walk-in", "1970-05-05", None, None),
+        ("z2", "Unidentified walk-in", "1970-05-05", None, None),
+    ]
+    df = spark.createDataFrame([(*r, None) for r in rows], "id string, name string, dob string, mrn string, created_at string, patient_json string")
+    assert {tuple(r) for r in S.survivors(df).collect()} == {("a1", "a1", "a2", "a3"), ("b1", "b2", None, "b2")}
+    assert S.survivors(df.limit(0)).count() == 0
+
+
+def test_misspellings_lose_to_votes_and_to_common_parts():
+    assert S.right_parts([["wenville", "omar"], ["wenvile", "omar", "ted"], ["wenville"]], {}, {"wenville": 9, "wenvile": 1}) == [2, 1, 1]
+    assert S.right_parts([["wenville", "tatiq"], ["wenville"]], {"tariq": 60}, {"tatiq": 1}) == [1, 1]
+    assert S.spelled_parts("D0rothy Brantosshaw Jr.") == ["brantosshaw"]
