@@ -6,7 +6,7 @@
    that occur in the corpus become its probes.
 3. Intersection: a posting meets a probe at the offset pos - i; probes of one item that agree on the offset within
    DRIFT words (words may be put in or left out) are a phrase or proximity match. A document that holds at least
-   PROBES probes of an item in such matches is a candidate, with the place where they lie.
+   a PART-th of an item's probes in such matches (2 at least, PROBES at most) is a candidate, with the place where they lie.
 4. Exact check: the words around that place are aligned with the passage by local alignment (match 1, else -1);
    alignments of at least LEAST points count. A document leaks an item if SHARE of the passage's words are aligned.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from chartloom.session import checkpoint
 from chartloom.sources.tables import read
 
-STRETCH, RAREST, DRIFT, PROBES, LEAST, SHARE = 6, 2, 8, 6, 8, 0.43
+STRETCH, RAREST, DRIFT, PROBES, PART, LEAST, SHARE = 6, 2, 8, 6, 4, 8, 0.43
 #: Up to this many word pairs of the passages are sent to every executor (16 bytes each); more are joined by shuffle.
 BROADCAST_PAIRS = 500_000
 MARGIN = 40
@@ -70,7 +70,9 @@ def candidates(index: DataFrame, probes: DataFrame) -> DataFrame:
     cells = near.groupBy("doc_id", "item_id", "cell").agg(F.count_distinct("i").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).where("n >= 2")
     # A hit lies in one even and one odd cell; the better kind counts.
     kinds = cells.groupBy("doc_id", "item_id", (F.col("cell") % 2).alias("kind")).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return kinds.groupBy("doc_id", "item_id").agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("n") >= PROBES)
+    floor = probes.groupBy("item_id").agg(F.least(F.lit(PROBES), F.greatest(F.lit(2), F.floor(F.count("*") / PART))).alias("floor"))
+    found = kinds.groupBy("doc_id", "item_id").agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return found.join(floor, "item_id").where("n >= floor").select("doc_id", "item_id", "n", "lo", "hi")
 
 
 def aligned(passage: list[str], text: list[str], least: int = LEAST) -> int:

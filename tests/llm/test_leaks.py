@@ -48,3 +48,11 @@ def test_two_pieces_and_short_phrases(spark):
     items = spark.createDataFrame([(9, p), (9, p), (10, None), (11, " "), (12, "one")], ITEMS).selectExpr("*", "5 as doc_id", "'q' as text")
     assert sorted((r.doc_id, r.item_id) for r in L.leaks(df, items).collect()) == [(1, 9), (3, 9), (4, 9), (8, 9)]
     assert L.leaks(df.limit(0), items).count() == 0 and L.leaks(df, items.limit(0)).count() == 0
+
+
+def test_short_passages_are_found_whole_and_in_half(spark):
+    short, middle = made_up(21, 12), made_up(22, 24)
+    rest = made_up(23, 60)
+    docs = [(1, f"{rest} {short} {rest}"), (2, f"{rest} {' '.join(middle.split()[:12])} {rest}"), (3, rest), (4, f"{rest} {' '.join(middle.split()[:6])} {rest}")]
+    got = L.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, short), (2, middle)], ITEMS))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, 1), (2, 2)]
