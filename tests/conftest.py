@@ -8,11 +8,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from chartloom.session import ensure_checkpoint_dir, local_session
+    from chartloom.session import local_session, shared_folder
 
     s = local_session("4", 4, "tests")
     s.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(s)
+    shared_folder(s)
     return s
 
 
