@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to callable) and ORACLE (name to SQL).
-MODULES = ["chartloom.llm.variants", "chartloom.llm.linkage", "chartloom.llm.survivors", "chartloom.llm.tokens", "chartloom.llm.sentences", "chartloom.llm.leaks"]
+MODULES = ["chartloom.llm.variants", "chartloom.llm.privacy", "chartloom.llm.linkage", "chartloom.llm.survivors", "chartloom.llm.tokens", "chartloom.llm.sentences", "chartloom.llm.leaks"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
