@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to callable) and ORACLE (name to SQL).
-MODULES = ["chartloom.operators.references", "chartloom.operators.units", "chartloom.operators.facts", "chartloom.operators.chart", "chartloom.operators.graph"]
+MODULES = [f"chartloom.operators.{m}" for m in "references units facts chart graph temporal texts extraction identity retrieval".split()]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
