@@ -15,6 +15,7 @@ from chartloom import dims
 from chartloom.operators import temporal
 from chartloom.operators.chart import chart
 from chartloom.operators.graph import EDGE_SQL, drug_orders, interacting
+from chartloom.session import written
 
 # Intents with their cues, in order.
 INTENTS = [
@@ -135,7 +136,7 @@ def plan_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coverage_refusals(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage(chart(spark, sf)).where("reason is not null").select("pid", "qid", "intent", "missing", "reason")
+    return coverage(written(chart(spark, sf))).where("reason is not null").select("pid", "qid", "intent", "missing", "reason")
 
 
 def concept_absent(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,14 +145,14 @@ def concept_absent(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def question_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    n = chart(spark, sf)
-    return evidence(n, coverage(n)).select("pid", "qid", "node_id")
+    n = written(chart(spark, sf))
+    return evidence(n, written(coverage(n))).select("pid", "qid", "node_id")
 
 
 def evidence_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """How much evidence each answerable question has: an eighth a node, one at most."""
-    n = chart(spark, sf)
-    cov = coverage(n)
+    n = written(chart(spark, sf))
+    cov = written(coverage(n))
     e = evidence(n, cov).groupBy("pid", "qid").agg(F.count("*").alias("n"))
     a = cov.where("reason is null").select("pid", "qid").join(e, ["pid", "qid"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return a.select("pid", "qid", "n", F.least(F.lit(1.0), F.col("n") / 8.0).alias("coverage"))
@@ -190,5 +191,5 @@ ORACLE = {
     "coverage_refusals": f"with {COVER_SQL} select pid, qid, intent, missing, reason from cov where reason is not null",
     "concept_absent": f"with {COVER_SQL} select pid, concept from doc",
     "question_evidence": f"with {EVIDENCE_SQL} select * from ev",
-    "evidence_coverage": f"with {EVIDENCE_SQL}, c as (select pid, qid, count(*) n from ev group by 1, 2) select cov.pid, cov.qid, coalesce(n, 0) n, least(cast(1.0 as double), coalesce(n, 0) / cast(8.0 as double)) coverage from cov left join c on cov.pid = c.pid and cov.qid = c.qid where reason is null",
+    "evidence_coverage": f"with {EVIDENCE_SQL}, ec as (select pid, qid, count(*) n from ev group by 1, 2) select cov.pid, cov.qid, coalesce(n, 0) n, least(cast(1.0 as double), coalesce(n, 0) / cast(8.0 as double)) coverage from cov left join ec on cov.pid = ec.pid and cov.qid = ec.qid where reason is null",
 }
