@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to callable) and ORACLE (name to SQL).
-MODULES = [f"chartloom.operators.{m}" for m in "references units facts chart graph temporal texts extraction identity retrieval".split()]
+MODULES = [f"chartloom.operators.{m}" for m in "references units facts chart graph temporal texts extraction identity retrieval calibration questions claims registry evaluation views prose".split()] + ["chartloom.sources.uploads"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p4_counts"](spark, sf_dir)
+    return queries()["trend_by_analyte"](spark, sf_dir)
