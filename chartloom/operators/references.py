@@ -1,6 +1,6 @@
 """References to rows that are absent or came later (left anti-join of distinct keys, joined back).
 
-Defined results: a null, blank, 'none' or 'n/a' key and document 0 refer to nothing and give no row; a parent without
+Defined results: a null, blank, 'none' or 'n/a' key and document 0 (but no patient '0') refer to nothing and give no row; a parent without
 a usable time (null, blank, unreadable or in 1900) is never late; a referring row without a readable time keeps a
 'missing' case with a null month and is never late; empty tables give no row (against an empty parent table every
 reference is missing); repeated parents count with their earliest time.
@@ -14,22 +14,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.functions.times import iso_micros, ntz_micros, utc_month
+from chartloom.session import written
 from chartloom.sources.tables import read
 
-SALTS = 16
+#: Rows of a key that one task takes; a key with more is cut into as many parts as it needs.
+ROWS_A_SALT = 200_000
+#: Words that refer to nothing; documents have the number 0 besides.
+NOTHING = ("", "none", "n/a")
 YEAR_1901 = -2_177_452_800_000_000  # microseconds; earlier parents count as undated
 
 
-def key_text(c: Column) -> Column:
+def key_text(c: Column, nothing: tuple[str, ...] = NOTHING) -> Column:
     """A key without case and surrounding white space; null where it refers to nothing."""
     k = F.lower(F.regexp_replace(c.cast("string"), r"^\s+|\s+$", ""))
-    return F.when(~k.isin("", "none", "n/a", "0"), k)
+    return F.when(~k.isin(*nothing), k)
 
 
-def reference(df: DataFrame, tbl: str, field: str, row_id: str, own_us: Column, domain: str) -> DataFrame:
+def reference(df: DataFrame, tbl: str, field: str, row_id: str, own_us: Column, domain: str, nothing: tuple[str, ...] = NOTHING) -> DataFrame:
     """Rows (tbl, ref_field, row_id, own_us, domain, key) of the references that refer to something."""
     return df.select(
-        F.lit(tbl).alias("tbl"), F.lit(field).alias("ref_field"), F.col(row_id).alias("row_id"), own_us.alias("own_us"), F.lit(domain).alias("domain"), key_text(F.col(field)).alias("key")
+        F.lit(tbl).alias("tbl"), F.lit(field).alias("ref_field"), F.col(row_id).alias("row_id"), own_us.alias("own_us"), F.lit(domain).alias("domain"), key_text(F.col(field), nothing).alias("key")
     ).where("key is not null")
 
 
@@ -44,13 +48,16 @@ def broken_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """One row (tbl, ref_field, row_id, status, yyyymm) for each reference whose parent is missing or late.
 
     The distinct keys (pre-aggregated on the map side, so a key that a third of the rows hold is one row) meet the
-    parents; only keys that have a case go back to the rows, salted so that a hot key is spread over SALTS tasks.
+    parents; only keys that have a case go back to the rows, a hot key in as many parts as its count asks for.
     """
-    keys = refs.groupBy("domain", "key").agg(F.min("own_us").alias("first_us"))
-    absent = keys.join(parents, ["domain", "key"], "left_anti").select("domain", "key", F.lit("missing").alias("status"), F.lit(None).cast("bigint").alias("born_us"))
-    late = keys.join(parents, ["domain", "key"]).where("born_us > first_us").select("domain", "key", F.lit("late").alias("status"), "born_us")
-    cases = absent.unionByName(late).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = refs.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
+    keys = written(refs.groupBy("domain", "key").agg(F.min("own_us").alias("first_us"), F.count("*").alias("n")))
+    absent = keys.join(parents, ["domain", "key"], "left_anti").select("domain", "key", "n", F.lit("missing").alias("status"), F.lit(None).cast("bigint").alias("born_us"))
+    late = keys.join(parents, ["domain", "key"]).where("born_us > first_us").select("domain", "key", "n", F.lit("late").alias("status"), "born_us")
+    cases = written(absent.unionByName(late).withColumn("salts", F.ceil(F.col("n") / ROWS_A_SALT).cast("int")).drop("n"))
+    # Only hot keys are cut; there are at most rows / ROWS_A_SALT of them, so their list is small beside the rows.
+    hot = cases.where("salts > 1").select("domain", "key", F.col("salts").alias("hot"))
+    rows = refs.join(hot, ["domain", "key"], "left").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.coalesce("hot", F.lit(1))).cast("int")).drop("hot") if not hot.isEmpty() else refs.withColumn("salt", F.lit(0))
+    cases = cases.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     return (
         rows.join(cases, ["domain", "key", "salt"])
         .where("status = 'missing' or born_us > own_us")
@@ -63,7 +70,7 @@ def chart_references(documents: DataFrame, facts: DataFrame, patients: DataFrame
     refs = [
         reference(documents, "documents", "patient_id", "doc_id", iso_micros(F.col("created_at")), "patient"),
         reference(facts, "facts", "patient_id", "fact_id", ntz_micros(F.col("loaded_at")), "patient"),
-        reference(facts, "facts", "doc_id", "fact_id", ntz_micros(F.col("loaded_at")), "document"),
+        reference(facts, "facts", "doc_id", "fact_id", ntz_micros(F.col("loaded_at")), "document", (*NOTHING, "0")),
     ]
     parents = parent(patients, "id", iso_micros(F.col("created_at")), "patient").unionByName(parent(documents, "doc_id", iso_micros(F.col("created_at")), "document"))
     return broken_references(reduce(DataFrame.unionByName, refs), parents)
@@ -89,7 +96,7 @@ iso(s, us) as (
         from (select created_at s from documents union select created_at from patients) where trim(s) <> '')),
 refs as (
   select tbl, ref_field, row_id, dom, lower(trim(k)) k, coalesce(iso.us, epoch_us(ts)) us
-  from t left join iso on t.raw_us = iso.s where k is not null and lower(trim(k)) not in ('', 'none', 'n/a', '0')),
+  from t left join iso on t.raw_us = iso.s where k is not null and lower(trim(k)) not in ('', 'none', 'n/a') and not (dom = 'document' and trim(k) = '0')),
 parents as (
   select dom, k, case when count(*) = count(us) then min(us) end born from (
     select 'patient' dom, lower(trim(id)) k, case when us >= -2177452800000000 then us end us from patients left join iso on created_at = s

@@ -1,7 +1,8 @@
 """Quantities in different units, brought to each analyte's common unit by joins and arithmetic.
 
 The unit comes from the unit column, else the raw text of the extraction, else the analyte's printed name, else the
-page text at the row's offsets; the first that names a unit of the analyte's kind wins. Defined results: no row
+page text at the row's offsets, else the source's default where one is given; the first that names a unit of the
+analyte's kind wins. Of differing copies of a page the smallest text counts. Defined results: no row
 without a readable number, without a known analyte or without a unit of a fitting kind anywhere (meaningless units
 such as 'arb.' or '?' are none); no row where the number stays as it is; repeated page rows count once; a row whose
 analyte code is null takes the code that most rows of the same printed name carry (ties: the smallest code).
@@ -12,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chartloom.dims import rows as dims_rows
+from chartloom.operators.texts import page_rows
+from chartloom.session import written
 from chartloom.sources.tables import read
 
 # Fixed values: (kind, factor to the kind's base unit, offset added before the factor, spellings without blanks in lower case with u for micro).
@@ -114,8 +118,12 @@ def analyte_table(spark: SparkSession, analytes: DataFrame) -> DataFrame:
     )
 
 
-def convert(facts: DataFrame, lab_analytes: DataFrame, pages: DataFrame, analytes: DataFrame) -> DataFrame:
-    """Rows (tbl, row_id, loinc, value, unit, converted, decimals) of every value with a known unit, also equal ones."""
+def convert(facts: DataFrame, lab_analytes: DataFrame, pages: DataFrame, analytes: DataFrame, defaults: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """Rows (tbl, row_id, loinc, value, unit, converted, decimals) of every value with a known unit, also equal ones.
+
+    defaults are (table, analyte code, unit) of sources whose values without any unit are known to be in one; the test
+    tables have none, as their rows without a unit may be in any.
+    """
     spark = facts.sparkSession
     number = lambda c: F.regexp_replace(F.nullif(c, F.lit("")), ",", ".").try_cast("double")
     raw = F.get_json_object("meta", "$.raw")
@@ -134,39 +142,32 @@ def convert(facts: DataFrame, lab_analytes: DataFrame, pages: DataFrame, analyte
     rows = f.unionByName(l).where("value is not null")
     rows = rows.withColumn("u3", unit_key(F.regexp_extract("label", IN_NAME, 1))).join(known.withColumn("named", F.lit(True)), "u3", "left")
     rows = rows.withColumn("label", name_key(F.when(F.col("named"), F.regexp_replace("label", r"\s*(, in [^()]+|\([^()]+\))\s*$", "")).otherwise(F.col("label"))))
-    # The printed names' codes: counted over all rows, pre-aggregated, then one row per name.
-    codes = (
+    # The printed names' codes: counted over all rows, pre-aggregated, then one row a name, written so that its true size
+    # decides whether it is broadcast (names are typed, so no bound is known before).
+    codes = written(
         rows.where("loinc is not null").groupBy("label", "loinc").agg(F.count("*").alias("n"))
         .unionByName(analytes.select(name_key(F.col("display")).alias("label"), "loinc", F.lit(1).cast("bigint").alias("n")))
         .groupBy("label").agg(F.max(F.struct("n", F.col("loinc").alias("code"))).alias("m")).select("label", F.col("m.code").alias("code"))
     )
-    table = F.broadcast(analyte_table(spark, analytes))
-    with_code = rows.where("loinc is not null").unionByName(rows.where("loinc is null").join(codes, "label").withColumn("loinc", F.col("code")).drop("code"))
-
-    def matched(df: DataFrame, us: list[str]) -> DataFrame:
-        """The first of the unit candidates that fits the analyte."""
-        for u in us:
-            df = df.join(
-                table.select("loinc", F.col("spelling").alias(u), F.struct("spelling", "factor", "shift", "common_shift", "decimals").alias(f"m_{u}")), ["loinc", u], "left"
-            )
-        return df.withColumn("m", F.coalesce(*[F.col(f"m_{u}") for u in us])).drop(*[f"m_{u}" for u in us])
-
-    by_column = matched(with_code, ["u1", "u2", "u3"])
-    keep = ["tbl", "row_id", "loinc", "value", "m"]
-    done = by_column.where("m is not null").select(*keep)
-    # Rows still without a unit read it from the page at their offsets.
-    open_rows = by_column.where("m is null and doc_id is not null and char_end > char_start").select("tbl", "row_id", "loinc", "value", "kind", "doc_id", "page_no", "char_start", "char_end")
-    text = open_rows.join(pages.select("doc_id", "page_no", "text").where("text is not null"), ["doc_id", "page_no"]).select(
-        "tbl", "row_id", "loinc", "value", "kind", F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("t")
-    )
-    text = text.dropDuplicates(["tbl", "row_id"])
-    by_text = matched(
-        text.withColumn("u4", unit_key(F.when(F.col("kind") == "vital", F.regexp_extract("t", VITAL_UNIT, 1)).otherwise(F.regexp_extract("t", ROW_UNIT, 1)))).withColumn(
-            "u5", unit_key(F.regexp_extract(F.regexp_extract("t", ROW_NAME, 1), IN_NAME, 1))
-        ),
-        ["u4", "u5"],
-    )
-    out = done.unionByName(by_text.where("m is not null").select(*keep))
+    # One row an analyte with all of its spellings; the spellings are literals, the analytes a fixed table.
+    entry = F.struct("spelling", F.struct("spelling", "factor", "shift", "common_shift", "decimals"))
+    table = F.broadcast(analyte_table(spark, analytes).groupBy("loinc").agg(F.map_from_entries(F.collect_list(entry)).alias("units")))
+    coded = rows.join(codes, "label", "left").withColumn("loinc", F.coalesce("loinc", "code")).join(table, "loinc")
+    fits = lambda u: F.try_element_at("units", u)
+    given = dims_rows(spark, defaults or [], "tbl string, loinc string, given string")
+    keep = ["tbl", "row_id", "loinc", "value", "m", "kind", "doc_id", "page_no", "char_start", "char_end"]
+    by_column = written(coded.withColumn("m", F.coalesce(fits(F.col("u1")), fits(F.col("u2")), fits(F.col("u3")))).select(*keep))
+    # Rows still without a unit read it from the page at their offsets, else take their source's default.
+    page = page_rows(pages)
+    located = F.col("doc_id").isNotNull() & F.col("page_no").isNotNull() & (F.col("char_end") > F.col("char_start"))
+    text = F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    open_ = by_column.where("m is null").drop("m")
+    at = open_.where(located).join(page, ["doc_id", "page_no"]).select("tbl", "row_id", "loinc", "value", "kind", text.alias("t"))
+    at = at.unionByName(open_.where(~located | located.isNull()).select("tbl", "row_id", "loinc", "value", "kind", F.lit(None).cast("string").alias("t"))) if defaults else at
+    u4 = unit_key(F.when(F.col("kind") == "vital", F.regexp_extract("t", VITAL_UNIT, 1)).otherwise(F.regexp_extract("t", ROW_UNIT, 1)))
+    u5 = unit_key(F.regexp_extract(F.regexp_extract("t", ROW_NAME, 1), IN_NAME, 1))
+    at = at.join(table, "loinc").join(F.broadcast(given), ["tbl", "loinc"], "left").withColumn("m", F.coalesce(fits(u4), fits(u5), fits(F.col("given"))))
+    out = by_column.where("m is not null").select(*keep[:5]).unionByName(at.where("m is not null").select(*keep[:5]))
     return out.select("tbl", "row_id", "loinc", "value", F.col("m.spelling").alias("unit"), ((F.col("value") + F.col("m.shift")) * F.col("m.factor") - F.col("m.common_shift")).alias("converted"), F.col("m.decimals").alias("decimals"))
 
 

@@ -24,7 +24,7 @@ PAGE_BREAK = "\f"
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, content) of every file under a path."""
+    """(filename, content) of every file under a path; the source itself skips files of no bytes."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
 
 
