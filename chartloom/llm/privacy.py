@@ -310,7 +310,7 @@ def surrogate(key: bytes, kind: str, part: str, attempt: int) -> str:
         words = re.sub(r"[^\W\d_]{3,}", lambda m: m[0] if m[0].lower() in lower or m[0].islower() else match_case(surrogate_part(key, m[0].lower(), attempt), m[0]), part)
         return surrogate_code(key, kind, words, attempt)
     if kind == "EMAIL":
-        local, at, rest = re.match(r"(?s)(.*?)(\s*@\s*|\s+(?:\S?at\S?|AT)\s+)(.*)", part).groups()
+        local, at, rest = re.match(r"(.*?)(\s*@\s*|[\[({]at[\])}]|\s+\S?at\S?\s+|$)(.*)", part, re.I | re.S).groups()
         return surrogate_code(key, kind, local, attempt) + at + rest
     return surrogate_code(key, kind, part, attempt)
 

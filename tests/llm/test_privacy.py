@@ -51,6 +51,7 @@ def test_surrogates_keep_shape_coreference_and_distinctness(spark):
     rows = [
         (1, 1, "Patient: Daniel Dormara   MRN: MRN30520228\nConsent by D. Dormara. Mr. DORMARA rang (579) 555-0177."),
         (1, 2, "Call Daniel Dormara, not Mr. Belski; or mail daniel.d@post.test. Lives at 74 Windmere Road, Fernmoor, PA 00895."),
+        (6, 1, "ada.q(at)clinic.example or ada.q [at] clinic [dot] example or ada.q AT clinic DOT example"),
         (2, 1, "陆海澄医生于上午9点查房。"), (3, 1, None), (4, 1, "Nothing."), (5, 1, "(579) 555-0177 and (579) 555-0178"),
     ]
     df = spark.createDataFrame(rows + rows[:1], "doc_id bigint, page_no int, text string")
@@ -61,6 +62,7 @@ def test_surrogates_keep_shape_coreference_and_distinctness(spark):
     assert surname == s2 == s3.capitalize() and s3.isupper() and given[0] == first and given.endswith("o")  # as Daniel mostly is a man's name
     assert {given, surname} & {"Daniel", "Dormara"} == set() and mrn != "MRN30520228" and phone != "(579) 555-0177"
     assert f"{given} {surname}" in got[1, 2] and "daniel" not in got[1, 2] and "Windmere" not in got[1, 2] and "@post.test" in got[1, 2]
+    assert "ada" not in got[6, 1] and "(at)clinic.example" in got[6, 1] and " AT clinic DOT example" in got[6, 1]
     assert phone in got[5, 1] and len(set(re.findall(r"\(\d{3}\) \d{3}-\d{4}", got[5, 1]))) == 2
     assert "陆海澄" not in got[2, 1] and got[2, 1].endswith("医生于上午9点查房。")
     assert got != {(r.doc_id, r.page_no): r.text for r in V.pseudonymised(df, "k2").collect()}
