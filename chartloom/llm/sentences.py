@@ -29,18 +29,22 @@ LOW = "a-zß-öø-ÿāăąćčďđēęěğģīķĺłńňőřśşšţťūůűźż
 OPEN, CLOSE = "\"'“„«‹‘「『（(\\[¿¡", "\"'”“’»›」』）)\\]"
 
 # Abbreviations after which a sentence goes on whatever follows; after NUMBERED only before a digit,
-# after SOFT only before a small letter.
+# after SOFT only before a small letter or a digit. Words that are words by themselves stand in the last two.
 ALWAYS = {
-    "en": "Dr Mr Mrs Ms Prof St Fig fig Figs sec Sec cf approx esp resp Resp vs viz incl ref Ref Rev Hon Capt Sgt Gen dept Dept Est est temp Temp sat Sat tel Tel ca al ext",
+    "en": "Dr Mr Mrs Ms Prof St Fig Figs cf approx esp vs viz incl Rev Hon Capt Sgt dept Dept",
     "de": "Dr med Prof Hr Fr Frau bzw ca z d u o Tel tel Str str Nr nr vgl Abs evtl ggf inkl usw St Pat tgl geb Mio Abb",
     "fr": "Dr Pr Mme Mlle MM M env cf c-à-d p ex tél Tél bd av St Ste art fig Fig chap éd",
-    "es": "Dr Dra Sr Sra Srta Prof Lic aprox p ej pág Avda núm tel Tel Ud Uds",
+    "es": "St Sta Sto Dr Dra Sr Sra Srta Prof Lic aprox p ej pág Avda núm tel Tel Ud Uds",
     "ru": "т е д г ул кв р ч мин им стр рис тел обл пер проф др руб коп п пр напр",
     "hi": "डॉ मि.ग्रा मि ग्रा श्री प्रो कि",
     "ar": "د أ م",
 }
-NUMBERED = {"en": "No no Nos nos Apt apt Rm pp p vol Vol art Art Jan Feb Mar Apr May Jun Jul Aug Sep Sept Oct Nov Dec", "de": "S Kap", "fr": "n art janv févr avr juil sept oct nov déc", "es": "n art pág ene feb mar abr may jun jul ago sep oct nov dic", "ru": "№ с"}
-SOFT = {"en": "etc Jr Sr Inc Ltd Co a.m p.m b.i.d t.i.d q.i.d q.d q.h.s p.r.n i.v U.S U.K M.D Ph.D e.g i.e", "de": "usw etc", "fr": "etc", "es": "etc m"}
+NUMBERED = {"en": "No no Nos nos Apt apt Rm pp p vol Vol Art sec Sec fig Jan Feb Mar Apr May Jun Jul Aug Sep Sept Oct Nov Dec", "de": "S Kap", "fr": "n art janv févr avr juil sept oct nov déc", "es": "n art pág ene feb mar abr may jun jul ago sep oct nov dic", "ru": "№ с"}
+SOFT = {"en": "sat Sat sec Sec resp Resp temp Temp est Est ref Ref tel Tel ca al ext Gen fig etc Jr Sr Inc Ltd Co a.m p.m b.i.d t.i.d q.i.d q.d q.h.s p.r.n i.v U.S U.K M.D Ph.D e.g i.e", "de": "usw etc", "fr": "etc", "es": "etc m"}
+
+
+#: Those of them that a value may follow.
+MEASURES = "sat Sat resp Resp temp Temp est Est ref Ref tel Tel ca ext"
 
 
 def _words(s: str) -> str:
@@ -54,6 +58,7 @@ def _table(lang: str) -> list[tuple[bool, str, str]]:
         rules.append((False, rf"(?:^|[^\w.-])(?:{_words(NUMBERED[lang])})\.", r"\s*\d"))
     if lang in SOFT:
         rules.append((False, rf"(?:^|[^\w.-])(?:{_words(SOFT[lang])})\.", rf"\s*[{LOW},;:)]"))
+        rules.append((False, rf"(?:^|[^\w.-])(?:{_words(MEASURES)})\.", r"\s*\d"))
     return rules
 
 
@@ -82,19 +87,23 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {x: _table(x) for x in ALWAYS}
     "danda": [(True, rf"[।॥?!][{CLOSE}]*", r"\s|$|[ऄ-ह]")],
     "arabic": [(True, rf"[؟!.۔][{CLOSE}]*", r"\s+|[ء-ي]{2}")],
 }
+LATIN = ["en", "de", "fr", "es"]
 CASCADES = {
-    "en": ["en", "fr", "es", "de", "latin"], "de": ["de", "de-ordinals", "en", "fr", "es", "latin"], "fr": ["fr", "en", "es", "de", "latin"], "es": ["es", "en", "fr", "de", "latin"],
+    "en": ["en", "latin"], "de": ["de", "de-ordinals", "latin"], "fr": ["fr", "latin"], "es": ["es", "latin"],
     "ru": ["ru", "cyrillic", "en", "latin"],
     "zh": ["cjk", "latin"], "ja": ["cjk", "latin"], "th": ["thai", "latin"], "hi": ["hi", "danda", "latin"], "ar": ["ar", "arabic", "latin"],
 }
+#: A text of the Latin script whose language is uncertain is asked all of its languages' tables, the likeliest first.
+UNCERTAIN = {x: [x, *(["de-ordinals"] if x == "de" else []), *(y for y in LATIN if y != x), "latin"] for x in LATIN}
 #: Where the rules are asked; any other position is no break.
 PLACES = {
     "thai": re.compile(r"(?:[^\S\n]+\n?|\n)(?=[^\S\n]*[ก-ฮเ-ไ])|[.!?…]+(?=\s)"),
     "cjk": re.compile(r"[.!?…。！？｡]+[\"'”’」』）)»]*"),
     "": re.compile(rf"[.!?…।॥؟۔]+[{CLOSE}]*"),
 }
-#: Marks that come in pairs; a place between two marks of one paragraph is no break.
-PAIRED = re.compile(r"\"[^\"]*\"|“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|「[^「」]*」|『[^『』]*』|（[^（）]*）|\([^()]*\)|\[[^\[\]]*\]")
+#: The first table of every cascade: marks that come in pairs, as before and after of the whole quotation; a place between
+#: the two marks is no break. A plain mark opens only where no letter or digit stands before it, so an inch mark is none.
+PAIRED = re.compile(r"(?<!\w)\"(?=\S)[^\"]*\"(?!\w)|“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|「[^「」]*」|『[^『』]*』|（[^（）]*）|\([^()]*\)|\[[^\[\]]*\]")
 
 HEADING = rf"(?:[{UP}][{UP}\d &,'’./-]*[{UP}]|[^.!?。！？]{{1,40}}[:：])"
 LABEL = rf"[{UP}][\w ./'’-]{{0,30}}[:：]\s+(?:(?!(?:[{LOW}\d]{{2,}}|\))[.!?](?:\s|$)).)+"
@@ -108,7 +117,7 @@ ALONE_ON_TOP = re.compile(rf"(?:{HEADING}|{LABEL}|{BULLET})")
 WRAP = 60
 LINE_END = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
 _COMPILED: dict[str, list[tuple[bool, re.Pattern, re.Pattern]]] = {}
-REACH = 24  # characters before a place that a rule may look at
+REACH = 40  # characters before a place that a rule looks at
 # Frequent words by which languages of the Latin script are told apart.
 FREQUENT = {
     "en": (" the ", " of ", " and ", " was ", " is ", " for ", " to ", " my "),
@@ -137,10 +146,18 @@ def language(text: str) -> str:
     return max(FREQUENT, key=lambda x: sum(map(text.count, FREQUENT[x])))
 
 
-def cascade(lang: str) -> list[tuple[bool, re.Pattern, re.Pattern]]:
-    if lang not in _COMPILED:
-        _COMPILED[lang] = [(b, re.compile(rf"(?:{before})\Z"), re.compile(after)) for t in CASCADES[lang] for b, before, after in TABLES[t]]
-    return _COMPILED[lang]
+def certain(text: str, lang: str) -> bool:
+    """Whether a text of the Latin script has three times as many frequent words of its language as of any other."""
+    text = text.replace("\n", " ").replace("\xa0", " ")
+    n = {x: sum(map(text.count, FREQUENT[x])) for x in FREQUENT}
+    return n.pop(lang) > 3 * max(n.values())
+
+
+def cascade(lang: str, sure: bool = True) -> list[tuple[bool, re.Pattern, re.Pattern]]:
+    key = lang if sure or lang not in UNCERTAIN else f"{lang}?"
+    if key not in _COMPILED:
+        _COMPILED[key] = [(b, re.compile(rf"(?:{before})\Z"), re.compile(after)) for t in (CASCADES[lang] if key == lang else UNCERTAIN[lang]) for b, before, after in TABLES[t]]
+    return _COMPILED[key]
 
 
 def breaks(text: str, pos: int, rules: list[tuple[bool, re.Pattern, re.Pattern]], latin: bool = False, since: int = 0) -> bool:
@@ -152,9 +169,11 @@ def breaks(text: str, pos: int, rules: list[tuple[bool, re.Pattern, re.Pattern]]
             k -= 1
         if pos - 2 - k >= 2 and (pos - k >= 12 or ((k < since or text[k] not in ".-") and text[k + 1 : pos - 1] not in NAMED)):
             return True
-    head = text[max(since, pos - REACH) : pos]
+    # What `before` needs is bounded (no abbreviation or chain of initials needs more to match its last part), and '^'
+    # matches only where the unit itself begins.
+    head = text[since:pos] if pos - since <= REACH else None
     for b, before, after in rules:
-        if after.match(text, pos) and before.search(head):
+        if after.match(text, pos) and (before.search(head) if head is not None else before.search(text, pos - REACH, pos)):
             return b
     return False
 
@@ -192,7 +211,7 @@ def segment(text: str | None) -> list[tuple[int, int]]:
     if not text or text.isspace():
         return out
     lang = language(text)
-    rules = cascade(lang)
+    rules = cascade(lang, lang not in UNCERTAIN or certain(text, lang))
     run = None  # start and end of the prose that goes on
     before, above, top = "", False, True  # the line before, whether it stands alone, whether a block begins
     at, size = 0, len(text)
@@ -220,8 +239,8 @@ def segment(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def sentence_units(docs: DataFrame) -> DataFrame:
-    """doc_id, char_start, char_end of the units of a table with doc_id and text, without a shuffle."""
+def sentence_units(docs: DataFrame, label: str = "doc_id", kind: str = "bigint") -> DataFrame:
+    """label (doc_id, or another column), char_start, char_end of the units of a table with text, without a shuffle."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,9 +248,9 @@ def sentence_units(docs: DataFrame) -> DataFrame:
             n = np.array([len(u) for u in units], np.int64)
             flat = np.array([x for u in units for x in u], np.int32).reshape(-1, 2)
             docs_ = b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
-            yield pa.RecordBatch.from_arrays([docs_, pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["doc_id", "char_start", "char_end"])
+            yield pa.RecordBatch.from_arrays([docs_, pa.array(flat[:, 0]), pa.array(flat[:, 1])], [label, "char_start", "char_end"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").mapInArrow(rows, "doc_id bigint, char_start int, char_end int")
+    return docs.select(F.col(label).cast(kind).alias(label), "text").where("text is not null").mapInArrow(rows, f"{label} {kind}, char_start int, char_end int")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,9 +259,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many units of each length (in tens of characters) each language label has."""
-    docs = read(spark, sf_dir, "documents")
-    units = sentence_units(docs)
-    return units.join(docs.select("doc_id", "lang").distinct(), "doc_id").groupBy("lang", (F.floor((F.col("char_end") - F.col("char_start")) / 10) * 10).alias("length")).agg(F.count("*").alias("n"))
+    units = sentence_units(read(spark, sf_dir, "documents"), "lang", "string")
+    return units.groupBy("lang", (F.floor((F.col("char_end") - F.col("char_start")) / 10) * 10).alias("length")).agg(F.count("*").alias("n"))
 
 
 QUERIES = {"p9_found": p9_found, "p9_lengths": p9_lengths}

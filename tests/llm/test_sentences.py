@@ -57,3 +57,14 @@ def test_defined_cases(spark):
     assert sorted((r.doc_id, r.char_start, r.char_end) for r in got if r.doc_id < 6) == [(4, 0, 4), (4, 0, 4), (4, 5, 9), (4, 5, 9), (5, 0, 14)]
     assert sum(r.doc_id == 6 for r in got) == 50_000
     assert S.sentence_units(df.limit(0)).count() == 0
+
+
+def test_words_that_look_like_abbreviations_and_inch_marks():
+    def units(t):
+        return [t[a:b] for a, b in S.segment(t)]
+
+    assert units('He has a 5" scar. It healed. Now a 3" scar remains.') == ['He has a 5" scar.', "It healed.", 'Now a 3" scar remains.']
+    assert units("She studied art. Then she left the room.") == ["She studied art.", "Then she left the room."]
+    assert units("He sat. Then he stood up. The patient was on med. She was fine.") == ["He sat.", "Then he stood up.", "The patient was on med.", "She was fine."]
+    assert units("The resp. rate was 6, sat. 51 percent, temp. 38.4 and est. loss 5 mL. It fell.") == ["The resp. rate was 6, sat. 51 percent, temp. 38.4 and est. loss 5 mL.", "It fell."]
+    assert units("We met A. B. C. D. E. F. G. H. I. J. K. L. M. N. O. P. Q. R. Smith. He left.") == ["We met A. B. C. D. E. F. G. H. I. J. K. L. M. N. O. P. Q. R. Smith.", "He left."]
