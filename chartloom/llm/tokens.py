@@ -29,6 +29,8 @@ from chartloom.sources.tables import read
 TOKENIZERS = os.environ.get("CHARTLOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k"
 LONG, LEAF, AGREE = 1 << 16, 1 << 14, 4
+#: The same for texts of letters only, which take the tree from this length on.
+UNSPLIT = 512
 # Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SAFE = regex.compile(r"[\p{L}\p{N}.,;:!?)](?=[ \n])")
@@ -44,7 +46,11 @@ def encoding(folder: str = TOKENIZERS, name: str = VOCABULARY):
 
         with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _LOADED[folder, name] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        enc = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for inner in ("encode_to_tiktoken_buffer", "encode_single_piece"):
+            if not hasattr(enc._core_bpe, inner):
+                raise RuntimeError(f"this version of tiktoken ({getattr(tiktoken, '__version__', '?')}) has no {inner}, on which this module rests")
+        _LOADED[folder, name] = enc
     return _LOADED[folder, name]
 
 
@@ -142,35 +148,46 @@ def encode_corpus(docs: DataFrame, folder: str = TOKENIZERS, long: int = LONG, l
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids)], ["doc_id", "ids"])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
         for b in batches:
-            for uid, doc, text in zip(*(c.to_pylist() for c in b.columns)):
-                rows = [(uid, doc, n, u, raw, body) for n, (u, raw, body) in enumerate(pieces(text, long, leaf))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["uid", "doc_id", "part", "unit", "raw", "body"])
+            for h, doc, text in zip(*(c.to_pylist() for c in b.columns)):
+                rows = [(h, doc, n, u, raw, body) for n, (u, raw, body) in enumerate(pieces(text, long, leaf))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["h", "doc_id", "part", "unit", "raw", "body"])
 
     def leaf_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(folder)
         for b in batches:
             ids = [np.array(enc._core_bpe.encode_single_piece(x), np.uint32) if raw else encode_text(enc, x.decode()) for raw, x in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], _lists(ids)], ["uid", "doc_id", "part", "unit", "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], _lists(ids)], ["h", "doc_id", "part", "unit", "ids"])
 
     def join_rows(table: pa.Table) -> pa.Table:
-        enc, units = encoding(folder), {}
+        # Rows that are repeated as a whole bring each of their parts as often: one is joined, and given as often.
+        enc, units, copies = encoding(folder), {}, 0
         rows = sorted(zip(table["part"].to_pylist(), table["unit"].to_pylist(), table["ids"].to_pylist()))
-        for _, unit, ids in rows:
-            units.setdefault(unit, []).append(ids)
-        out = [np.array(join_tree(enc, x), np.uint32) for x in units.values()]
-        return pa.table([pa.array([table["doc_id"][0].as_py()], pa.int64()), _lists([np.concatenate(out)])], ["doc_id", "ids"])
+        for k, (part, unit, ids) in enumerate(rows):
+            copies += part == rows[0][0]
+            if k == 0 or rows[k - 1][0] != part:
+                units.setdefault(unit, []).append(ids)
+        out = np.concatenate([np.array(join_tree(enc, x), np.uint32) for x in units.values()])
+        return pa.table([pa.array([table["doc_id"][0].as_py()] * copies, pa.int64()), _lists([out] * copies)], ["doc_id", "ids"])
 
     is_long = F.coalesce(F.length("text") > long, F.lit(False))
     short = docs.where(~is_long).mapInArrow(short_rows, "doc_id bigint, ids array<int>")
-    parts = docs.where(is_long).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(cut, "uid bigint, doc_id bigint, part bigint, unit bigint, raw boolean, body binary")
-    leaves = parts.repartition("uid", "part").mapInArrow(leaf_rows, "uid bigint, doc_id bigint, part bigint, unit bigint, ids array<int>")
-    return short.unionByName(leaves.groupBy("uid").applyInArrow(join_rows, "doc_id bigint, ids array<int>"))
+    # The key of a text's parts is of its content, so a task that is run again gives the same keys.
+    parts = docs.where(is_long).select(F.xxhash64("text").alias("h"), F.coalesce("doc_id", F.lit(None).cast("bigint")).alias("doc_id"), "text").mapInArrow(cut, "h bigint, doc_id bigint, part bigint, unit bigint, raw boolean, body binary")
+    leaves = parts.repartition("h", "part").mapInArrow(leaf_rows, "h bigint, doc_id bigint, part bigint, unit bigint, ids array<int>")
+    return short.unionByName(leaves.groupBy("h", "doc_id").applyInArrow(join_rows, "doc_id bigint, ids array<int>"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p7_unsplit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document's letters alone, run together: texts that no pattern splits, through the tree of halves."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[^\p{L}]+", "").alias("text"))
+    return encode_corpus(docs, long=UNSPLIT, leaf=UNSPLIT // 4)
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_unsplit_ids": p7_unsplit_ids}
 ORACLE: dict[str, str] = {}

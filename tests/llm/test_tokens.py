@@ -45,3 +45,12 @@ def test_query_on_defined_cases(spark):
 def test_vocabulary_is_a_parameter():
     with pytest.raises(FileNotFoundError):
         T.encoding("/nowhere")
+
+
+def test_default_sizes_and_texts_of_letters_only(spark, sf):
+    text = "".join(random.Random(5).choice("etaoinshrdlu") for _ in range(3 * T.LONG))
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_id bigint, text string")
+    assert [r.ids for r in T.encode_corpus(df).collect()] == [whole(text)] * 2
+    docs = {r.doc_id: r.t for r in spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "regexp_replace(text, '[^\\\\p{L}]+', '') as t").collect()}
+    got = {r.doc_id: r.ids for r in T.p7_unsplit_ids(spark, sf).collect()}
+    assert got == {d: whole(t) if t else [] for d, t in docs.items()} and sum(len(t) > T.UNSPLIT for t in docs.values() if t) > 30
