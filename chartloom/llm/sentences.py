@@ -2,10 +2,11 @@
 
 A rule is (breaks, before, after): `before` must match the text that ends at a position, `after` the text that begins
 there. The tables of a language are tried in order, first its own, then those of its script, then the general one;
-the first rule that matches decides the position. Two cascades run one after the other: LAYOUT decides each line end
-(its before and after match whole lines), the language's cascade each place inside running prose that ends with
-closing punctuation. A blank line always breaks. Lines of reports (headings, list items, table rows, 'label: value')
-are units of their own and aren't broken inside.
+the first rule that matches decides the position. Two cascades run one after the other: LAYOUT decides which lines
+stand alone, the language's cascade each place inside running prose that ends with closing punctuation. A place between
+paired marks is asked the table PAIRED first. Most places of the Latin script follow a word that no exception names; they
+are answered without trying the tables, as the general rule of their last table would. A blank line always breaks.
+Lines of reports (headings, list items, table rows, 'label: value') are units of their own and aren't broken inside.
 
 Offsets count code points, the end is exclusive, units carry no surrounding white space and cover all else. Defined
 results: null, empty and blank texts give no unit; text without any rule's place is one unit; every row gives its units,
@@ -110,9 +111,21 @@ LABEL = rf"[{UP}][\w ./'’-]{{0,30}}[:：]\s+(?:(?!(?:[{LOW}\d]{{2,}}|\))[.!?](
 ROW = r".*?\S(?:\s{3,}|\s*\t\s*)\S.*"
 BULLET = r"(?:[-*•–]|\d{1,2}[.)]|[a-z]\))\s+\S.*"
 RULE = r"[-=_*—–]+"
-#: Lines that stand by themselves: anywhere, and those only at a block's start or below another such line.
-ALONE = re.compile(rf"(?:{RULE}|[-*•]\s+\S.*|{ROW})")
-ALONE_ON_TOP = re.compile(rf"(?:{HEADING}|{LABEL}|{BULLET})")
+#: The cascade of lines: (alone, where, pattern). The first rule whose pattern is the whole line decides whether it is a
+#: unit of its own; rules for 'top' hold only at a block's start or below a line that is one.
+LAYOUT = [
+    (True, "any", RULE), (True, "any", r"[-*•]\s+\S.*"), (True, "any", ROW),
+    (True, "top", HEADING), (True, "top", LABEL), (True, "top", BULLET),
+    (False, "any", r".*"),
+]
+_LAYOUT = [(alone, where == "top", re.compile(pattern)) for alone, where, pattern in LAYOUT]
+
+
+def stands_alone(line: str, on_top: bool) -> bool:
+    """What the first matching rule says of a line."""
+    return next((alone for alone, top, rx in _LAYOUT if (on_top or not top) and rx.fullmatch(line)), False)
+
+
 #: A line with the next line's first word that is longer than this was wrapped.
 WRAP = 60
 LINE_END = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
@@ -224,7 +237,7 @@ def segment(text: str | None) -> list[tuple[int, int]]:
                 _prose(text, *run, lang, rules, out)
             run, top, above, before = None, True, False, ""
         else:
-            alone = bool(ALONE.fullmatch(line) or ((top or above) and ALONE_ON_TOP.fullmatch(line)))
+            alone = stands_alone(line, top or above)
             if run and (alone or len(before) + 1 + len(line.split(None, 1)[0]) <= WRAP):
                 _prose(text, *run, lang, rules, out)
                 run = None
