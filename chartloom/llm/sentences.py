@@ -66,6 +66,12 @@ def _table(lang: str) -> list[tuple[bool, str, str]]:
 #: Cascading tables; each language names the tables that are tried in turn.
 TABLES: dict[str, list[tuple[bool, str, str]]] = {x: _table(x) for x in ALWAYS} | {
     "de-ordinals": [(False, r"(?:^|[\s(])\d{1,2}\.", r"\s+[A-ZÄÖÜ]")],
+    "addresses": [  # nothing ends inside an e-mail address, however it is spelled
+        (False, r"@\s?[\w.-]*\.", r"[a-z]"),
+        (False, r"@\s?[A-Z\d.-]*\.", r"[A-Z]{2}"),
+        (True, r"@\s?[A-Z\d.-]*[A-Z]\.", r"[A-Z][a-z ]"),
+        (False, r"[\w+-]\.", r"[\w.+-]*\w\s?(?:@|[\[({][Aa][Tt][\])}])|[\w.+-]+\s(?:AT\s|at\s\S+\sdot\s|[\[(]at)"),
+    ],
     "latin": [
         (False, r"(?:^|[^\w.])[a-z]\.(?:\s?[a-z]\.)*", rf"\s*[{LOW}(,\d]"),  # i.e. / p. m. before a small letter
         (False, rf"(?:^|[\s(\"'“„«-])(?<!\d\s)(?<!\d)(?<!°\s)(?<!deg\s)[{UP}]\.(?:[ -]?[{UP}]\.)*", rf"\s*(?:[{UP}'’-]?[{LOW}{UP}'’-]+|[{UP}]\.|[(,;:])"),  # initials
@@ -73,7 +79,7 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {x: _table(x) for x in ALWAYS}
         (False, r"\.\.\.|…", rf"\s*[{LOW}]"),
         (True, rf"[.!?…][{CLOSE}]*", r"\s"),
         (True, rf"(?:[{LOW}]{{2}}|\d|[)”»\"])[.!?]", rf"[{UP}][{LOW} ]"),  # the blank is missing
-        (True, r"(?:^|\s)[A-Za-z(),;-]{3,}\.", r"[a-z]{2,}[ ,;](?!AT |at \S+ dot|[\[(]at)"),
+        (True, r"(?:^|\s)[A-Za-z(),;-]{3,}\.", r"[a-z]{2,}[ ,;]"),
     ],
     "cyrillic": [
         (False, rf"(?:^|[\s(])[{UP}]\.", r"\s*[а-яёА-ЯЁ]"),
@@ -90,12 +96,12 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {x: _table(x) for x in ALWAYS}
 }
 LATIN = ["en", "de", "fr", "es"]
 CASCADES = {
-    "en": ["en", "latin"], "de": ["de", "de-ordinals", "latin"], "fr": ["fr", "latin"], "es": ["es", "latin"],
-    "ru": ["ru", "cyrillic", "en", "latin"],
-    "zh": ["cjk", "latin"], "ja": ["cjk", "latin"], "th": ["thai", "latin"], "hi": ["hi", "danda", "latin"], "ar": ["ar", "arabic", "latin"],
+    "en": ["en", "addresses", "latin"], "de": ["de", "de-ordinals", "addresses", "latin"], "fr": ["fr", "addresses", "latin"], "es": ["es", "addresses", "latin"],
+    "ru": ["ru", "cyrillic", "en", "addresses", "latin"],
+    "zh": ["cjk", "addresses", "latin"], "ja": ["cjk", "addresses", "latin"], "th": ["thai", "addresses", "latin"], "hi": ["hi", "danda", "addresses", "latin"], "ar": ["ar", "arabic", "addresses", "latin"],
 }
 #: A text of the Latin script whose language is uncertain is asked all of its languages' tables, the likeliest first.
-UNCERTAIN = {x: [x, *(["de-ordinals"] if x == "de" else []), *(y for y in LATIN if y != x), "latin"] for x in LATIN}
+UNCERTAIN = {x: [x, *(["de-ordinals"] if x == "de" else []), *(y for y in LATIN if y != x), "addresses", "latin"] for x in LATIN}
 #: Where the rules are asked; any other position is no break.
 PLACES = {
     "thai": re.compile(r"(?:[^\S\n]+\n?|\n)(?=[^\S\n]*[ก-ฮเ-ไ])|[.!?…]+(?=\s)"),
@@ -238,7 +244,8 @@ def segment(text: str | None) -> list[tuple[int, int]]:
             run, top, above, before = None, True, False, ""
         else:
             alone = stands_alone(line, top or above)
-            if run and (alone or len(before) + 1 + len(line.split(None, 1)[0]) <= WRAP):
+            # A line that begins with a small letter goes on (not after one in capitals); any other only where its first word did not fit above.
+            if run and (alone or ((not line[0].islower() or before.isupper()) and len(before) + 1 + len(line.split(None, 1)[0]) <= WRAP)):
                 _prose(text, *run, lang, rules, out)
                 run = None
             if alone:

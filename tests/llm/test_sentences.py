@@ -68,3 +68,12 @@ def test_words_that_look_like_abbreviations_and_inch_marks():
     assert units("He sat. Then he stood up. The patient was on med. She was fine.") == ["He sat.", "Then he stood up.", "The patient was on med.", "She was fine."]
     assert units("The resp. rate was 6, sat. 51 percent, temp. 38.4 and est. loss 5 mL. It fell.") == ["The resp. rate was 6, sat. 51 percent, temp. 38.4 and est. loss 5 mL.", "It fell."]
     assert units("We met A. B. C. D. E. F. G. H. I. J. K. L. M. N. O. P. Q. R. Smith. He left.") == ["We met A. B. C. D. E. F. G. H. I. J. K. L. M. N. O. P. Q. R. Smith.", "He left."]
+
+
+def test_addresses_and_lines_that_go_on():
+    def units(t):
+        return [t[a:b] for a, b in S.segment(t)]
+
+    assert units("Write to ana.q @ clinic.example or bo.x AT post DOT test. Mail ED.W@EXAMPLE.COM.Then wait. It helps.") == ["Write to ana.q @ clinic.example or bo.x AT post DOT test.", "Mail ED.W@EXAMPLE.COM.", "Then wait.", "It helps."]
+    assert units("El Dr. revisó la placa\na las 8 p.\nm. y no halló cambios.") == ["El Dr. revisó la placa\na las 8 p.\nm. y no halló cambios."]
+    assert units("HISTORY\npH was low.\nit fell.") == ["HISTORY", "pH was low.", "it fell."]
