@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -151,6 +152,43 @@ def remembered(prompts: DataFrame, cache: DataFrame, ask: Callable[[str], str |
     return keyed.join(cache, "key").select("key", "prompt", "answer").unionByName(misses), misses.select("key", "answer")
 
 
+def payload_of(answer: str | None) -> Any:
+    """The JSON object of a model's answer, without code fences and what stands around it; None without one."""
+    t = re.sub(r"^\s*```[a-zA-Z]*\s*|\s*```\s*$", "", answer or "")
+    for body in (t, t[t.find("{") : t.rfind("}") + 1]):
+        try:
+            got = json.loads(body)
+        except ValueError:
+            continue
+        if isinstance(got, dict):
+            return got
+    return None
+
+
+class Unavailable(Exception):
+    """A failure of a model's service that another attempt may mend: too many requests, a server's fault, a timeout."""
+
+
+def retrying(ask: Callable[[str], str], attempts: int = 3, waits: tuple[float, ...] = (1, 2, 4), sleep: Callable[[float], None] = time.sleep) -> Callable[[str], Any]:
+    """A client of `ask`: payloads as objects, temporary failures asked again after waits, one more turn for an answer that is no JSON."""
+
+    def turn(prompt: str) -> str:
+        for k in range(attempts):
+            try:
+                return ask(prompt)
+            except Unavailable:
+                if k + 1 == attempts:
+                    raise
+                sleep(waits[min(k, len(waits) - 1)])
+        raise Unavailable
+
+    def client(prompt: str) -> Any:
+        got = payload_of(turn(prompt))
+        return got if got is not None else payload_of(turn(prompt + "\n\nAnswer with one JSON object and nothing else."))
+
+    return client
+
+
 def scrubbed(c, secrets: list[str]):
     """A message without secrets: keys after 'Bearer' or 'key=', and the given words."""
     out = F.regexp_replace(c, r"(?i)(bearer\s+|(?:api[_-]?)?key=)[^\s&\"']+", "$1***")

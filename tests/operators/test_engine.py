@@ -185,3 +185,54 @@ def test_plan_queries_name_no_missing_module():
     import __spark_entry__
 
     assert len(__spark_entry__.queries()) > 100 and json.dumps(sorted(__spark_entry__.oracle_sql()))
+
+
+def test_services_over_a_folder(spark, sf):
+    from chartloom.plans.facade import Engine, NotFound
+
+    e = Engine(spark, sf)
+    f = e.table("facts").where("patient_id is not null and page_no is not null").select("patient_id", "doc_id", "page_no").orderBy("fact_id").first()
+    key = f.patient_id
+    assert e.patients().count() == e.table("patients").count() and {r.tbl for r in e.status().collect()} == {"patients", "documents", "pages", "facts"}
+    assert e.nodes(key).select("pid").distinct().count() == 1 and e.edges(key).where("etype = 'occurs_during'").count() <= e.nodes(key).count()
+    page = e.page(f.doc_id, f.page_no).collect()
+    assert len(page) == 1 and page[0].spans
+    with pytest.raises(NotFound):
+        e.page(-1, 1)
+    with pytest.raises(NotFound):
+        e.patient("nobody at all")
+    got = {r.qid: r.refused for r in e.ask([(1, "What is the blood type?"), (2, "When was the last visit?")], key).collect()}
+    assert got == {1: True, 2: False} and [r.action for r in e.trace(key, 6, 1).collect()] == ["PUBLISHED"]
+    ok, bad = e.register(e.table("patient_payloads"))
+    assert ok.count() + bad.count() == e.table("patient_payloads").count()
+    moved, charts = e.attach(spark.createDataFrame([(f.doc_id, "pat_new")], "doc_id bigint, new_pid string"))
+    assert moved.where("patient_id = 'pat_new'").count() > 0 and {r.pid for r in charts.select("pid").distinct().collect()} <= {"pat_new", key.strip().lower()}
+
+
+def test_store_schemas(spark, tmp_path):
+    from chartloom.sources import tables
+
+    tables.create_store(spark, str(tmp_path))
+    tables.create_store(spark, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "facts.parquet")).count() == 0
+    old = spark.createDataFrame([("a", 5), ("a", 6), (None, 7)], "id string, extra int")
+    assert tables.conformed(old, tables.STORE["patients"]).columns == "id name dob mrn sex patient_json created_at".split() and [(r.id, r.n) for r in tables.repeated_keys(old, "id").collect()] == [("a", 2)]
+    with pytest.raises(ValueError):
+        tables.read(spark, str(tmp_path), "labels")
+
+
+def test_model_clients():
+    from chartloom.operators import prose
+
+    assert prose.payload_of('```json\n{"facts": []}\n```') == {"facts": []} and prose.payload_of('Sure: {"a": 1} done') == {"a": 1} and prose.payload_of("[1]") is None and prose.payload_of(None) is None
+    said, slept = [], []
+
+    def ask(p):
+        said.append(p)
+        if len(said) < 3:
+            raise prose.Unavailable
+        return "no json" if len(said) == 3 else '{"facts": []}'
+
+    assert prose.retrying(ask, sleep=slept.append)("hello") == {"facts": []} and slept == [1, 2] and len(said) == 4 and said[3].startswith("hello\n")
+    with pytest.raises(prose.Unavailable):
+        prose.retrying(lambda p: (_ for _ in ()).throw(prose.Unavailable()), sleep=slept.append)("x")
