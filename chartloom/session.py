@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,7 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "chartloom") -> SparkSession:
-    """A local session as tests and bench use it: UTC, AQE on, few shuffle partitions."""
+    """A local session as tests and bench use it: UTC, AQE on, few shuffle partitions.
+
+    Workers find this package by PYTHONPATH; on a cluster it is shipped with --py-files or installed.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
