@@ -104,6 +104,24 @@ def facts_by_kind(spark: SparkSession, sf: str) -> DataFrame:
     return f.select(F.coalesce("kind", F.lit("all")).alias("kind"), F.coalesce("extractor", F.lit("all")).alias("extractor"), "n", "chars")
 
 
+def result_flag(value: Column, low: Column, high: Column) -> Column:
+    """H above, L below, empty within or without bounds; null without a value."""
+    return F.when(value.isNull(), F.lit(None).cast("string")).when(value > high, "H").when(value < low, "L").otherwise("")
+
+
+def result_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Printed result rows with their flag as it follows from value and bounds, and as printed."""
+    l = read(spark, sf, "lab_analytes")
+    return l.select("row_id", result_flag(F.col("value"), F.col("ref_low"), F.col("ref_high")).alias("flag_now"), F.col("flag").alias("flag_printed"))
+
+
+def birth_ages(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole years of age on the first of January 2026, and the birth date in American order, where the date is ISO."""
+    d = F.try_to_date(F.when(F.col("dob").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("dob")))
+    p = read(spark, sf, "patients").select("id", d.alias("d")).where("d is not null and d <= date'2026-01-01'")
+    return p.select("id", F.floor(F.months_between(F.lit("2026-01-01").cast("date"), "d") / 12).cast("int").alias("age"), F.date_format("d", "MM/dd/yyyy").alias("us_date"))
+
+
 def facts_of_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's facts in the order of page and place, as their number among the document's."""
     from pyspark.sql import Window
@@ -130,8 +148,12 @@ d as (select * from f where pid is not null
 QUERIES = {
     "abnormal_flag": abnormal_flag, "enum_guard": enum_guard, "schema_guard_violations": schema_guard_violations, "unit_normalise": unit_normalise, "unit_comparable": unit_comparable,
     "analyte_code": analyte_code, "analyte_enrich_left": analyte_enrich_left, "fact_dedup": fact_dedup, "facts_by_kind": facts_by_kind, "facts_of_documents": facts_of_documents, "fact_from_json": fact_from_json,
+    "result_flags": result_flags, "birth_ages": birth_ages,
 }
 ORACLE = {
+    "result_flags": "select row_id, case when value is null then null when ref_high is not null and value > ref_high then 'H' when ref_low is not null and value < ref_low then 'L' else '' end flag_now, flag flag_printed from lab_analytes",
+    "birth_ages": r"""select id, cast(date_sub('year', d, date '2026-01-01') as integer) age, strftime(d, '%m/%d/%Y') us_date
+        from (select id, try_cast(case when regexp_matches(dob, '^\d{4}-\d{2}-\d{2}$') then dob end as date) d from patients) where d <= date '2026-01-01'""",
     "abnormal_flag": """select fact_id, case when value is null then null when ref_low is not null and value < ref_low then true when ref_high is not null and value > ref_high then true
         when ref_low is not null or ref_high is not null then false end abnormal_now, abnormal abnormal_then from facts where kind = 'lab'""",
     "enum_guard": f"select kind, extractor, count(*) n, coalesce(kind in {_KINDS} and extractor in {_EXTR}, false) known from facts group by 1, 2",

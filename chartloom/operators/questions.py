@@ -65,6 +65,13 @@ def plans(questions: DataFrame) -> DataFrame:
     return questions.select("qid", "query", intent.alias("intent"), months.alias("months"))
 
 
+def replanned(plan: DataFrame, suggested: DataFrame) -> DataFrame:
+    """plans with the intents that a model suggests (qid, intent), only where the cues found none and only of known intents."""
+    known = [i for i, _ in INTENTS]
+    s = suggested.where(F.col("intent").isin(known)).groupBy("qid").agg(F.min("intent").alias("other"))
+    return plan.join(s, "qid", "left").withColumn("intent", F.when(F.col("intent") == "general", F.coalesce("other", "intent")).otherwise(F.col("intent"))).drop("other")
+
+
 def unrepresentable(query: Column) -> Column:
     """(cue, why) of the first cue that a question holds, null without one."""
     low, out = F.lower(F.coalesce(query, F.lit(""))), F.lit(None).cast("struct<cue:string,why:string>")

@@ -236,3 +236,21 @@ def test_model_clients():
     assert prose.retrying(ask, sleep=slept.append)("hello") == {"facts": []} and slept == [1, 2] and len(said) == 4 and said[3].startswith("hello\n")
     with pytest.raises(prose.Unavailable):
         prose.retrying(lambda p: (_ for _ in ()).throw(prose.Unavailable()), sleep=slept.append)("x")
+
+
+def test_suggested_intents_replace_only_general_ones(spark):
+    p = questions.plans(spark.createDataFrame([(1, "hello"), (2, "any interaction?"), (3, "hi")], "qid int, query string"))
+    s = spark.createDataFrame([(1, "trend"), (2, "trend"), (3, "dance")], "qid int, intent string")
+    assert {r.qid: r.intent for r in questions.replanned(p, s).collect()} == {1: "trend", 2: "interaction", 3: "general"}
+
+
+def test_rendered_reports_parse_back(spark):
+    from chartloom.operators import extraction
+
+    rows = [(1, "Ada Quill", "M-1", "02/03/1950", "04/15/2025", k, n, v, u, r, f) for k, (n, v, u, r, f) in enumerate([("Creatinine", 1.48, "mg/dL", "0.60 - 1.30", "H"), ("INR", 1.1, "ratio", "0.80 - 1.20", None)])]
+    text = uploads.lab_layout(spark.createDataFrame(rows, "doc_id bigint, patient string, mrn string, dob string, collected string, place int, name string, value double, unit string, range string, flag string"))
+    pages = text.withColumn("page_no", F.lit(1))
+    a = spark.createDataFrame([("c", "Creatinine"), ("i", "INR")], "loinc string, display string")
+    got = sorted((r.name, r.value, r.unit, r.ref_low, r.ref_high, r.abnormal, r.time_iso) for r in extraction.lab_rows(pages, a).collect())
+    assert got == [("Creatinine", 1.48, "mg/dL", 0.6, 1.3, True, "2025-04-15"), ("INR", 1.1, "ratio", 0.8, 1.2, False, "2025-04-15")]
+    assert [(r.name, r.mrn, r.dob) for r in extraction.demographics(pages).collect()] == [("Ada Quill", "M-1", "1950-02-03")]
