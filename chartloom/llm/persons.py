@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PARTICLES = set("de la da van der von al st ben mac mc del di du le el bin ibn y dos".split())
+PARTICLES = set("de la da van der von al st ben mac mc del di du le el bin ibn dos".split())
 TITLES = set("mr mrs ms miss dr prof sir jr sr ii iii iv md phd rn".split())
 NOBODY = re.compile(r"\b(test|xxx+|placeholder|unknown|unidentified|baby|asdf|qwer|walk[- ]?in|anonymous|dummy|do not use this)\b", re.I)
 REMARK = re.compile(r"\[[^\]]*\]|\*\*.*?\*\*|\((?=[^)]*\s)[^)]*\)|/\s*referred.*$|,?\s*\bc/o\b.*$|\s+-\s+.*$", re.I)
@@ -107,8 +107,25 @@ def same_part(a: str, b: str) -> bool:
     return (3 <= len(a) < len(b) and b.startswith(a)) or any(near(f, y) for x, y in ((a, b), (b, a)) for f in FULL_NAMES.get(x, ()))
 
 
+def alike(a: str, b: str) -> bool:
+    """One slip in a short part, or two in a longer one: enough only beside an equal date or number."""
+    return (min(len(a), len(b)) >= 3 and near(a, b)) or (min(len(a), len(b)) >= 5 and abs(len(a) - len(b)) <= 2 and two_slips(a, b))
+
+
+def two_slips(a: str, b: str) -> bool:
+    """Whether Levenshtein's distance is two at most."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        left, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            left, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, left + (x != y))
+        if min(row) > 2:
+            return False
+    return row[-1] <= 2
+
+
 def compare_names(pa: list[str], ia: str, pb: list[str], ib: str) -> str:
-    """'full': all parts of the shorter name are in the longer, two or more; 'initial': the surname and a fitting initial; 'part': some part; ''."""
+    """'full': all parts of the shorter name are in the longer, two or more; 'initial': the surname and a fitting initial; 'alike': full but for a part with more slips; 'part': some part; ''."""
     left, rest, hits = list(pb), [], 0
     for test in (str.__eq__, same_part):
         rest, todo = [], (pa if test is str.__eq__ else rest)
@@ -122,7 +139,7 @@ def compare_names(pa: list[str], ia: str, pb: list[str], ib: str) -> str:
     if not hits:
         return ""
     if rest and left:
-        return "part"
+        return "alike" if len(rest) == 1 and any(alike(rest[0], y) for y in left) else "part"
     if hits >= 2:
         return "full"
     if not rest and not left:
@@ -163,6 +180,8 @@ def decide(a: tuple, b: tuple) -> str:
         if mrn == "same" or dob in ("same", "close") or (dob == "near" and mrn != "other"):
             return "strong"
         return "weak" if dob == "missing" and mrn == "missing" else ""
+    if name == "alike":
+        return "strong" if (dob == "same" and mrn != "other") or (mrn in ("same", "near") and dob != "other") else ""
     if name == "initial":
         if mrn == "same" and dob != "other":
             return "strong"
@@ -195,6 +214,6 @@ def registry_rows(patients: DataFrame) -> DataFrame:
 def confidence(a: tuple, b: tuple) -> float:
     """How sure a match is by the two rows themselves, from 0 to 1: an ordered scale, not a calibrated probability."""
     name, dob, mrn = compare_names(a[0], a[1], b[0], b[1]), compare_dates(a[2], b[2]), compare_numbers(a[3], b[3])
-    odds = {"full": 8.0, "initial": 2.0, "part": 0.5, "": 0.2}[name] * {"same": 20.0, "close": 8.0, "near": 3.0, "missing": 1.0, "loose": 0.5, "other": 0.1}[dob]
+    odds = {"full": 8.0, "initial": 2.0, "alike": 3.0, "part": 0.5, "": 0.2}[name] * {"same": 20.0, "close": 8.0, "near": 3.0, "missing": 1.0, "loose": 0.5, "other": 0.1}[dob]
     odds *= {"same": 30.0, "near": 8.0, "missing": 1.0, "other": 0.4}[mrn] * (6.0 if a[4] is not None and a[4] == b[4] else 1.0)
     return round(odds / (1.0 + odds), 4)
