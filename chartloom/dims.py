@@ -86,3 +86,8 @@ def sql_text(v: object) -> str:
 def sql_rows(values: list[tuple]) -> str:
     """The same values as the body of a SQL VALUES clause."""
     return "values " + ", ".join("(" + ", ".join(map(sql_text, r)) + ")" for r in values)
+
+
+def as_integers(sql: str, *columns: str) -> str:
+    """The SQL's result with ranks as 32-bit integers, as the queries give them."""
+    return "select * replace (" + ", ".join(f'cast("{c}" as integer) as "{c}"' for c in columns) + f") from ({sql})"

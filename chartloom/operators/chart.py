@@ -155,3 +155,5 @@ ORACLE = {
     "collection_order": f"with {CHART_SQL} select pid, node_id, type, row_number() over (partition by pid, type order by coalesce(time, ''), ord) place from nodes where type <> 'Encounter'",
     "chart_nodes": f"with {CHART_SQL} select pid, node_id, type, time, display, loinc, value, hi_is_worse, code, encounter_id, encounter_type from nodes",
 }
+ORACLE["encounter_spans"] = dims.as_integers(ORACLE["encounter_spans"], "ord")
+ORACLE["collection_order"] = dims.as_integers(ORACLE["collection_order"], "place")

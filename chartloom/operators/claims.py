@@ -237,3 +237,7 @@ ORACLE = {
         me as (select o_custkey pid, l_orderkey || '_' || l_linenumber node_id, p_brand drug from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey where l_linestatus = 'O' and l_discount >= 0.05)
         select al.pid, al.node_id src, me.node_id dst, 'The record documents a ' || substance || ' allergy while it is ordered.' as text, cast(0.94 as double) raw_conf, 'high' severity from al join me on al.pid = me.pid and lower(substance) = lower(drug)""",
 }
+ORACLE["claim_citations"] = dims.as_integers(ORACLE["claim_citations"], "no")
+ORACLE["verify_claims"] = dims.as_integers(ORACLE["verify_claims"], "no")
+ORACLE["citations_missing"] = dims.as_integers(ORACLE["citations_missing"], "no")
+ORACLE["abstention_decisions"] = dims.as_integers(ORACLE["abstention_decisions"], "no")

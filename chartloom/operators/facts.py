@@ -174,3 +174,4 @@ ORACLE = {
     "facts_of_documents": "select doc_id, fact_id, row_number() over (partition by doc_id order by page_no nulls first, char_start nulls first, fact_id) place from facts where doc_id is not null",
     "fact_from_json": "select fact_id, json_extract_string(meta, '$.code') code, json_extract_string(meta, '$.dose') dose, json_extract_string(meta, '$.raw') raw from facts where meta is not null",
 }
+ORACLE["facts_of_documents"] = dims.as_integers(ORACLE["facts_of_documents"], "place")

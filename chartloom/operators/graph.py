@@ -206,3 +206,4 @@ ORACLE = {
     "timeline_positions": f"""with {CHART_SQL}, n as (select pid, node_id, {_MICROS} t from nodes), s as (select pid, min(t) lo, max(t) hi from n group by 1)
         select n.pid, node_id, (t - lo) / greatest(hi - lo, 1) * 100 pct from n join s on n.pid = s.pid where t is not null""",
 }
+ORACLE["nodes_sorted"] = dims.as_integers(ORACLE["nodes_sorted"], "place")

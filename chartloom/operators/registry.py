@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chartloom import dims
 from chartloom.functions.times import iso_micros
 from chartloom.operators.chart import CHART_SQL, chart
 from chartloom.operators.facts import person_key
@@ -225,3 +226,4 @@ ORACLE = {
         select id, "name", dob, mrn, sex, {", ".join(f"coalesce({t}, 0) {t}" for t in ("encounter", "diagnosis", "labresult", "medicationorder", "vitalseries"))} from patients left join x on {_PK('id')} = pid""",
     "service_status": "select 'patients' tbl, count(*) n from patients union all select 'documents', count(*) from documents union all select 'pages', count(*) from pages union all select 'facts', count(*) from facts",
 }
+ORACLE["documents_latest"] = dims.as_integers(ORACLE["documents_latest"], "place")

@@ -167,3 +167,5 @@ ORACLE = {
     "term_df_running": f"with {_WHOLE}, {_TF} select seq, term, tf, df from rd",
     "tfidf_topk": f"with {_WHOLE}, {_TF}, {_TOP} select query_id, row_number() over (partition by query_id order by score desc, seq) rank, doc_id from al qualify rank <= {TOP}",
 }
+ORACLE["term_df_running"] = dims.as_integers(ORACLE["term_df_running"], "seq", "df")
+ORACLE["tfidf_topk"] = dims.as_integers(ORACLE["tfidf_topk"], "rank")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chartloom import dims
 from chartloom.functions.times import iso_micros
 from chartloom.operators.chart import CHART_SQL, chart
 from chartloom.operators.ordered import previous, ranked
@@ -176,3 +177,6 @@ ORACLE = {
     "already_known": f"""with {CHART_SQL}, {_V}, {_CHANGED}, w as (select pid, type, coalesce(loinc, code, lower(display)) what, min(time) first_time from nodes where type <> 'Encounter' and time is not null group by 1, 2, 3)
         select ch.pid, node_id, first_time, first_time <= prev_time known from ch join w on ch.pid = w.pid and ch.type = w.type and coalesce(ch.loinc, ch.code, lower(ch.display)) = what""",
 }
+ORACLE["trend_two_points"] = dims.as_integers(ORACLE["trend_two_points"], "place")
+ORACLE["trend_points"] = dims.as_integers(ORACLE["trend_points"], "seq")
+ORACLE["followup_gap_as_coded"] = dims.as_integers(ORACLE["followup_gap_as_coded"], "rank")

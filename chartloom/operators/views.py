@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chartloom import dims
 from chartloom.operators import claims as C
 from chartloom.operators.chart import CHART_SQL, chart
 from chartloom.operators.facts import person_key
@@ -180,3 +181,4 @@ ORACLE = {
     "export_json": f"with {_BUNDLE} select pid, cast(json_object('encounters', encounters, 'nodes', nodes) as varchar) \"json\" from bu",
     "bundle_documents": "select nullif(lower(trim(patient_id)), '') pid, coalesce(kind, 'unknown') kind, count(*) documents, cast(sum(n_chars) as bigint) chars from documents where nullif(lower(trim(patient_id)), '') is not null group by 1, 2",
 }
+ORACLE["citation_sources"] = dims.as_integers(ORACLE["citation_sources"], "no")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartloom import dims
 from chartloom.sources.tables import read
 
 # The largest file, the endings that are read and those that are refused as office formats.
@@ -128,3 +129,4 @@ ORACLE = {
     "pages_renumbered": r"with p as (select doc_id, page_no, min(text) as text from pages where text is not null group by 1, 2) select doc_id, page_no, row_number() over (partition by doc_id order by page_no) number from p where regexp_replace(text, '\s+', '', 'g') <> ''",
     "content_duplicates": "with d as (select doc_id, sha256(text) h from documents where text is not null) select doc_id, \"first\" from d join (select h, min(doc_id) \"first\" from d group by 1 having count(*) > 1) using (h) where doc_id <> \"first\"",
 }
+ORACLE["pages_renumbered"] = dims.as_integers(ORACLE["pages_renumbered"], "number")
