@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["trend_by_analyte"](spark, sf_dir)
+    return queries()["trend_trade"](spark, sf_dir)
