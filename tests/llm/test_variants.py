@@ -80,3 +80,29 @@ def test_two_slips_count_beside_an_equal_date_only():
     assert P.compare_names(a[0], "", b[0], "") == "alike" and P.decide(a, b) == "strong"
     assert P.decide(a, (*b[:2], 19870216, *b[3:])) == "" and P.decide((["halripoulos", "mei"], "", 19800304, None, None), (["halripoulos", "maeve"], "", 19800304, None, None)) == ""
     assert P.name_parts("Y Wenpoulos")[1] == "y" and P.two_slips("cholé", "chloé") and not P.two_slips("abcdef", "uvwxyz")
+
+
+def damaged_rows(n=500):
+    """Rows with few given names and surnames, cut, misspelled and short ones among them, so that every part is common."""
+    rnd = random.Random(5)
+    given, last = "rebecca becky marie theodore ted maeve mav christina chris sue joe".split(), "halini hallyni halin branczyk brancz lee moe wenville su".split()
+
+    def slip(w):
+        k = rnd.randrange(len(w))
+        return rnd.choice([w, w, w, w[:k] + w[k + 1 :], w[:k] + "o" + w[k:], w[:k] + w[k + 1 : k + 2] + w[k] + w[k + 2 :]])
+
+    for i in range(n):
+        parts = [slip(rnd.choice(given)) for _ in range(rnd.choice((0, 1, 1, 2)))] + [slip(rnd.choice(last)) for _ in range(rnd.choice((0, 1, 1, 2)))] + ["r."] * (rnd.random() < 0.2)
+        dob = None if rnd.random() < 0.15 else f"{rnd.choice((1960, 1961, 1970))}-{rnd.randrange(1, 4):02d}-{rnd.randrange(1, 29):02d}"
+        mrn = f"MRN2493{rnd.choice(('0792', '0729', '0793', '4411'))}" if rnd.random() < 0.3 else None
+        yield f"k{i:03d}", " ".join(parts), dob, mrn, f"{rnd.randrange(5)} Kestrel St" if rnd.random() < 0.3 else None
+
+
+def test_common_short_and_cut_names_lose_no_pair(spark):
+    people, _ = V.profiles(spark.createDataFrame(list(damaged_rows()), "key string, name string, dob string, mrn string, address string"))
+    all_ = sorted(((r.key, (r.parts, r.initials, r.dob, r.mrn, r.home)) for r in people.collect()))
+    want = {(a, b): k for i, (a, x) in enumerate(all_) for b, y in all_[i + 1 :] if (k := P.decide(x, y))}
+    assert {"strong", "weak"} == set(want.values()) and len(want) > 200
+    for block in (60, 3):
+        got = {(r.a, r.b): r.kind for r in V.decided(people, V.blocked_pairs(people, block)).collect()}
+        assert got == want
