@@ -21,6 +21,8 @@ from chartloom.sources.tables import read
 # Weights of the features, the score of equal numbers, the threshold and the base of the logistic curve.
 WEIGHTS = {"name": 0.30, "dob": 0.25, "sex": 0.05, "addr": 0.20}
 NUMBER_CONFLICT, EQUAL_NUMBERS, TAU, E = 0.08, 0.995, 0.85, 2.718281828
+#: Pairs of one key that a task meets at most, about; it decides only the cost.
+PAIRS_A_PART = 2_000_000
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -68,15 +70,46 @@ def name_key(c: Column) -> Column:
     return F.trim(F.replace(F.lower(c), F.lit(","), F.lit("")))
 
 
-def dob_similarity(a: Column, b: Column) -> Column:
-    """Agreement of two ISO dates by component: the year half, month and day the rest, swapped month and day nearly as much; 0 for what is no date."""
-    part = lambda c, i: F.regexp_extract(c, r"^(\d+)-(\d+)-(\d+)$", i).try_cast("int")
-    (ya, ma, da), (yb, mb, db) = ([part(c, i) for i in (1, 2, 3)] for c in (a, b))
+def date_parts(c: Column) -> Column:
+    """Year, month and day of an ISO date as a struct: read once a row, not once a pair; null parts for what is no date."""
+    part = lambda i: F.regexp_extract(c, r"^(\d+)-(\d+)-(\d+)$", i).try_cast("int")
+    return F.struct(part(1).alias("y"), part(2).alias("m"), part(3).alias("d"))
+
+
+def parts_similarity(a: Column, b: Column) -> Column:
+    """Agreement of two dates by component: the year half, month and day the rest, swapped month and day nearly as much; 0 for what is no date."""
+    (ya, ma, da), (yb, mb, db) = ([c[i] for i in "ymd"] for c in (a, b))
     year = F.when(ya == yb, 0.5).when(F.abs(ya - yb) <= 1, 0.1).otherwise(0.0)
     rest = F.when((ma == mb) & (da == db), 0.5).when((ma == db) & (da == mb), 0.4).when(ma == mb, 0.25).when(da == db, 0.2).otherwise(0.0)
     return F.when(ya.isNull() | yb.isNull(), 0.0).otherwise(F.least(F.lit(1.0), year + rest))
 
 
+def dob_similarity(a: Column, b: Column) -> Column:
+    """Agreement of two ISO dates by component."""
+    return parts_similarity(date_parts(a), date_parts(b))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The inner join on key, where a key with very many pairs is met in as many parts as its pairs ask for.
+
+    The larger side of such a key is divided and the other repeated, so a filler number that a fiftieth of all rows
+    give is no single task.
+    """
+    n = lambda df, c: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(c))
+    # Above PAIRS_A_PART pairs: a table of keys, written first so that its true size decides.
+    hot = n(left, "nl").join(n(right, "nr"), key).where(F.col("nl") * F.col("nr") > PAIRS_A_PART)
+    hot = written(hot.select(key, F.least(F.greatest("nl", "nr"), F.ceil(F.col("nl") * F.col("nr") / PAIRS_A_PART)).cast("int").alias("parts"), (F.col("nl") >= F.col("nr")).alias("cut_left")))
+    one, tasks = F.array(F.lit(0)), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+
+    def side(df: DataFrame, cut: Column) -> DataFrame:
+        at = F.when(F.col("parts").isNull(), one).when(cut, F.array(F.pmod(F.xxhash64(*df.columns), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
+        # A number of partitions that is given is not joined again by size, which says nothing of the pairs.
+        return df.join(hot, key, "left").withColumn("part_", F.explode(at)).drop("parts", "cut_left").repartition(tasks, key, "part_")
+
+    return side(left, F.col("cut_left")).join(side(right, ~F.col("cut_left")), [key, "part_"]).drop("part_")
+
+
 def blocking_pairs(records: DataFrame) -> DataFrame:
     """(i, j), i < j: distinct pairs of rec that share date of birth and sex, or the record number."""
     r = records.select("rec", F.nullif(F.trim("dob"), F.lit("")).alias("dob"), F.nullif(F.trim("sex"), F.lit("")).alias("sex"), F.nullif(F.trim("mrn"), F.lit("")).alias("mrn"))
@@ -150,9 +183,9 @@ def pair_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_dob_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Similarity of the dates of patients and payloads that give the same number."""
-    p = read(spark, sf, "patients").select("id", F.col("dob").alias("a"), F.nullif(F.trim("mrn"), F.lit("")).alias("mrn"))
-    q = read(spark, sf, "patient_payloads").select("payload_id", F.col("dob").alias("b"), F.nullif(F.trim("mrn"), F.lit("")).alias("mrn"))
-    return p.join(q, "mrn").where("a is not null and b is not null").select("id", "payload_id", dob_similarity(F.col("a"), F.col("b")).alias("sim"))
+    p = read(spark, sf, "patients").where("dob is not null").select("id", date_parts(F.col("dob")).alias("a"), F.nullif(F.trim("mrn"), F.lit("")).alias("mrn"))
+    q = read(spark, sf, "patient_payloads").where("dob is not null").select("payload_id", date_parts(F.col("dob")).alias("b"), F.nullif(F.trim("mrn"), F.lit("")).alias("mrn"))
+    return spread_join(p, q, "mrn").select("id", "payload_id", parts_similarity(F.col("a"), F.col("b")).alias("sim"))
 
 
 def identity_clusters(spark: SparkSession, sf: str) -> DataFrame:

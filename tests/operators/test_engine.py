@@ -254,3 +254,12 @@ def test_rendered_reports_parse_back(spark):
     got = sorted((r.name, r.value, r.unit, r.ref_low, r.ref_high, r.abnormal, r.time_iso) for r in extraction.lab_rows(pages, a).collect())
     assert got == [("Creatinine", 1.48, "mg/dL", 0.6, 1.3, True, "2025-04-15"), ("INR", 1.1, "ratio", 0.8, 1.2, False, "2025-04-15")]
     assert [(r.name, r.mrn, r.dob) for r in extraction.demographics(pages).collect()] == [("Ada Quill", "M-1", "1950-02-03")]
+
+
+def test_spread_join_meets_every_pair_of_a_hot_key_once(spark, monkeypatch):
+    a = spark.createDataFrame([("f", i) for i in range(30)] + [("g", 1), (None, 2)], "k string, x int")
+    b = spark.createDataFrame([("f", i) for i in range(20)] + [("g", 3), ("g", 3), (None, 4)], "k string, y int")
+    monkeypatch.setattr(identity, "PAIRS_A_PART", 40)
+    for left, right in ((a, b), (b, a)):
+        got = sorted((r.k, r.x, r.y) for r in identity.spread_join(left, right, "k").collect())
+        assert got == sorted([("f", x, y) for x in range(30) for y in range(20)] + [("g", 1, 3)] * 2)
