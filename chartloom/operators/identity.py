@@ -57,15 +57,20 @@ def jaro_winkler_column(a: Column, b: Column) -> Column:
     return jw(a, b)
 
 
-def edit_similarity(a: Column, b: Column) -> Column:
-    """1 less the share of letters to change: a builtin that may stand in for the measure above.
+def ascii_signs(c: Column) -> Column:
+    """Letters outside ASCII count as one and the same sign, as engines differ in how they count them."""
+    return F.regexp_replace(c, r"[^\x00-\x7f]", "?")
 
-    Letters outside ASCII count as one and the same sign, as engines differ in how they count them.
-    """
-    a, b = (F.regexp_replace(c, r"[^\x00-\x7f]", "?") for c in (a, b))
+
+def signs_similarity(a: Column, b: Column) -> Column:
+    """1 less the share of letters to change: a builtin that may stand in for the measure above."""
     return 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
+def edit_similarity(a: Column, b: Column) -> Column:
+    return signs_similarity(ascii_signs(a), ascii_signs(b))
+
+
 def name_key(c: Column) -> Column:
     return F.trim(F.replace(F.lower(c), F.lit(","), F.lit("")))
 
@@ -118,13 +123,44 @@ def blocking_pairs(records: DataFrame) -> DataFrame:
 
 
 def pair_features(records: DataFrame, similar: Callable[[Column, Column], Column] = jaro_winkler_column, pairs: DataFrame | None = None) -> DataFrame:
-    """(i, j, equal_mrn, mean): the weighted mean of what both records have; null where that is nothing."""
-    cols = ["name", "dob", "sex", "address", "mrn"]
-    side = lambda s: records.select(F.col("rec").alias(s), *[F.nullif(F.trim(c), F.lit("")).alias(f"{c}_{s}") for c in cols])
-    p = (blocking_pairs(records) if pairs is None else pairs).join(side("i"), "i").join(side("j"), "j")
+    """(i, j, equal_mrn, mean): the weighted mean of what both records have; null where that is nothing.
+
+    What needs one record only (names in lower case, parts of dates) is computed before records meet. Without given
+    pairs, records meet in their blocks with all that the mean needs, so no pair is shuffled.
+    """
+    # The edit similarity folds letters: once a record, not once a pair.
+    fold, similar = (ascii_signs, signs_similarity) if similar is edit_similarity else (lambda c: c, similar)
+    r = records.select("rec", *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in ["name", "dob", "sex", "address", "mrn"]])
+    r = r.select("rec", fold(name_key(F.col("name"))).alias("name"), fold(F.lower("address")).alias("addr"), "dob", date_parts(F.col("dob")).alias("date"), "sex", "mrn")
+    cols = r.columns[1:]
+    side = lambda df, s: df.select(F.col("rec").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols], *[c for c in ["k"] if c in df.columns])
+    if pairs is not None:
+        return means(pairs.join(side(r, "i"), "i").join(side(r, "j"), "j"), similar)
+    # A rec of several rows takes the pairs of all of them: such records meet by their distinct pairs.
+    several = written(records.where("rec is not null").groupBy("rec").agg(F.count("*").alias("n")).where("n > 1").select("rec"))
+    k = lambda *c: F.struct(*[x.alias(f"k{i}") for i, x in enumerate(c)])
+    keys = F.array_compact(F.array(
+        F.when(F.col("dob").isNotNull() & F.col("sex").isNotNull(), k(F.lit("born"), F.col("dob"), F.col("sex"))),
+        F.when(F.col("mrn").isNotNull(), k(F.lit("mrn"), F.col("mrn"), F.lit(""))),
+    ))
+    single = r.where("rec is not null").join(several, "rec", "left_anti").withColumn("k", F.explode(keys))
+    met = spread_join(side(single, "i"), side(single, "j"), "k").where("i < j")
+    # Two records of both blocks meet by their births.
+    met = met.where((F.col("k.k0") == "born") | ~F.coalesce((F.col("dob_i") == F.col("dob_j")) & (F.col("sex_i") == F.col("sex_j")), F.lit(False)))
+    out = means(met, similar)
+    if several.isEmpty():
+        return out
+    blocks = records.select("rec", *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("dob", "sex", "mrn")]).withColumn("k", F.explode(keys)).select("rec", "k").distinct()
+    some = blocks.join(several, "rec", "left_semi").select(F.col("rec").alias("x"), "k").join(blocks.select(F.col("rec").alias("y"), "k"), "k").where("x <> y")
+    some = some.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct()
+    return out.unionByName(means(some.join(side(r, "i"), "i").join(side(r, "j"), "j"), similar))
+
+
+def means(p: DataFrame, similar: Callable[[Column, Column], Column]) -> DataFrame:
+    """(i, j, equal_mrn, mean) of pairs that hold what both records have."""
     both = lambda c: F.col(f"{c}_i").isNotNull() & F.col(f"{c}_j").isNotNull()
-    p = p.withColumn("name_sim", F.when(both("name"), similar(name_key(F.col("name_i")), name_key(F.col("name_j"))))).withColumn("addr_sim", F.when(both("address"), similar(F.lower("address_i"), F.lower("address_j"))))
-    sims = {"name": F.col("name_sim"), "dob": F.when(both("dob"), dob_similarity(F.col("dob_i"), F.col("dob_j"))), "sex": F.when(both("sex"), (F.col("sex_i") == F.col("sex_j")).cast("double")), "addr": F.col("addr_sim")}
+    p = p.withColumn("name_sim", F.when(both("name"), similar(F.col("name_i"), F.col("name_j")))).withColumn("addr_sim", F.when(both("addr"), similar(F.col("addr_i"), F.col("addr_j"))))
+    sims = {"name": F.col("name_sim"), "dob": F.when(both("dob"), parts_similarity(F.col("date_i"), F.col("date_j"))), "sex": F.when(both("sex"), (F.col("sex_i") == F.col("sex_j")).cast("double")), "addr": F.col("addr_sim")}
     top, low = F.lit(0.0), F.lit(0.0)
     for k, s in sims.items():
         top, low = top + F.coalesce(WEIGHTS[k] * s, F.lit(0.0)), low + F.when(s.isNotNull(), WEIGHTS[k]).otherwise(0.0)

@@ -263,3 +263,12 @@ def test_spread_join_meets_every_pair_of_a_hot_key_once(spark, monkeypatch):
     for left, right in ((a, b), (b, a)):
         got = sorted((r.k, r.x, r.y) for r in identity.spread_join(left, right, "k").collect())
         assert got == sorted([("f", x, y) for x in range(30) for y in range(20)] + [("g", 1, 3)] * 2)
+
+
+def test_records_of_several_rows_and_of_both_blocks_pair_once(spark):
+    rows = [("a", "Ann Lee", "1950-01-02", "F", "M1"), ("b", "Ann Lea", "1950-01-02", "F", "M1"), ("c", "Bo Lee", "1950-01-02", "M", "M1"), ("d", "Bo Lee", None, "M", "M2"), ("d", "Bo Li", "1950-01-02", "M", " "), (None, "Bo Lee", "1950-01-02", "M", "M1")]
+    r = spark.createDataFrame([(*x, None) for x in rows], "rec string, name string, dob string, sex string, mrn string, address string")
+    for similar in (identity.edit_similarity, identity.jaro_winkler_column):
+        direct, by_pairs = identity.pair_features(r, similar), identity.pair_features(r, similar, identity.blocking_pairs(r))
+        key = lambda df: sorted((x.i, x.j, x.equal_mrn, round(x.mean, 9)) for x in df.collect())
+        assert key(direct) == key(by_pairs) and [x[:2] for x in key(direct)] == [("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("c", "d")]
