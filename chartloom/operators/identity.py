@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,12 +48,59 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + same * 0.1 * (1 - jaro)
 
 
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of texts, one row each, and their lengths; beyond a text's end lie zeros."""
+    size = np.fromiter(map(len, texts), "int32", len(texts))
+    out = np.zeros((len(texts), max(int(size.max(initial=0)), 1)), "uint32")
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "uint32")
+    return out, size
+
+
+def jaro_winkler_rows(a: list[str], b: list[str]) -> np.ndarray:
+    """`jaro_winkler` of each pair of texts, for all pairs at once, letter by letter."""
+    (x, n), (y, m) = letters(a), letters(b)
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
+    free, hit = np.arange(y.shape[1]) < m[:, None], np.zeros(x.shape, bool)
+    every = np.arange(len(a))
+    for i in range(x.shape[1]):
+        lo, hi = max(0, i - int(reach.max(initial=0))), min(y.shape[1], i + int(reach.max(initial=0)) + 1)
+        if lo >= hi:
+            break
+        fits = (y[:, lo:hi] == x[:, i, None]) & free[:, lo:hi] & (np.abs(np.arange(lo, hi) - i) <= reach[:, None]) & (i < n)[:, None]
+        first = fits.argmax(1)
+        found = fits[every, first]
+        hit[:, i] = found
+        free[every[found], lo + first[found]] = False
+    taken = (np.arange(y.shape[1]) < m[:, None]) & ~free
+    hits = hit.sum(1)
+    # The letters that met, in the order of each text: as many on both sides.
+    differ = x[hit] != y[taken]
+    t = np.bincount(np.repeat(every, hits)[differ], minlength=len(a)) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(hits > 0, (hits / n + hits / m + (hits - t) / hits) / 3, 0.0)
+    k = min(4, x.shape[1], y.shape[1])
+    same = np.cumprod((x[:, :k] == y[:, :k]) & (np.arange(k) < np.minimum(n, m)[:, None]), 1).sum(1)
+    return np.where(hits > 0, jaro + same * 0.1 * (1 - jaro), 0.0)
+
+
+#: Pairs that are compared at once, and the letters of a text above which a pair is compared by itself.
+AT_ONCE, LONG_TEXT = 4096, 64
+
+
 def jaro_winkler_column(a: Column, b: Column) -> Column:
     """In Arrow batches, as no builtin has this measure."""
 
     @F.pandas_udf("double")
     def jw(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([jaro_winkler(p or "", q or "") for p, q in zip(x, y)], dtype="float64")
+        x, y = x.fillna("").tolist(), y.fillna("").tolist()
+        out = np.zeros(len(x))
+        short = [i for i, (p, q) in enumerate(zip(x, y)) if max(len(p), len(q)) <= LONG_TEXT]
+        for k in range(0, len(short), AT_ONCE):
+            at = short[k : k + AT_ONCE]
+            out[at] = jaro_winkler_rows([x[i] for i in at], [y[i] for i in at])
+        for i in set(range(len(x))) - set(short):
+            out[i] = jaro_winkler(x[i], y[i])
+        return pd.Series(out)
 
     return jw(a, b)
 

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -272,3 +273,12 @@ def test_records_of_several_rows_and_of_both_blocks_pair_once(spark):
         direct, by_pairs = identity.pair_features(r, similar), identity.pair_features(r, similar, identity.blocking_pairs(r))
         key = lambda df: sorted((x.i, x.j, x.equal_mrn, round(x.mean, 9)) for x in df.collect())
         assert key(direct) == key(by_pairs) and [x[:2] for x in key(direct)] == [("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("c", "d")]
+
+
+def test_jaro_winkler_of_many_pairs_equals_that_of_each():
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdé𝒳") for _ in range(rnd.randrange(0, 12)))
+    a, b = [word() for _ in range(3000)], [word() for _ in range(3000)]
+    a[:3], b[:3] = ["martha", "", "same"], ["marhta", "", "same"]
+    assert identity.jaro_winkler_rows(a, b).tolist() == pytest.approx([identity.jaro_winkler(x, y) for x, y in zip(a, b)], abs=1e-12)
+    assert len(identity.jaro_winkler_rows([], [])) == 0
