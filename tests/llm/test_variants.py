@@ -106,3 +106,21 @@ def test_common_short_and_cut_names_lose_no_pair(spark):
     for block in (60, 3):
         got = {(r.a, r.b): r.kind for r in V.decided(people, V.blocked_pairs(people, block)).collect()}
         assert got == want
+
+
+def test_tables_on_the_way_are_deleted_and_passes_meet_every_key(spark):
+    import os
+    from pathlib import Path
+
+    from chartloom.session import shared_folder
+
+    left = lambda: {p for p in os.listdir(shared) if p.startswith("written-")}
+    blocks = lambda: sum(p.stat().st_size for p in local.rglob("shuffle_*"))
+    shared, local = shared_folder(spark).removeprefix("file://"), Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    people, _ = V.profiles(spark.createDataFrame(list(damaged_rows(150)), "key string, name string, dob string, mrn string, address string"))
+    before, on_disk = left(), blocks()
+    pairs = {n: V.blocked_pairs(people, 3, n) for n in (1, 3)}
+    # Before, every table on the way stayed, and its shuffles until the driver collected its garbage.
+    assert len(left() - before) == 2 and blocks() <= on_disk
+    a, b = ({(r.a, r.b): round(r.weight, 6) for r in pairs[n].collect()} for n in (1, 3))
+    assert a == b and len(a) > 100
